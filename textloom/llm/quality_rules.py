@@ -20,6 +20,7 @@ MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of words
 ITERATIONS = 60
 PRIOR = 0.8
+EXPECTED = 0.998
 THRESHOLD = 0.5
 
 #: (name, ratio, good up to, bad from): in between a rule abstains.
@@ -85,42 +86,47 @@ def votes() -> dict[str, Column]:
 
 
 def fit(patterns: list[tuple[tuple[int, ...], int]], iterations: int = ITERATIONS, prior: float = PRIOR) -> dict:
-    """EM for a two-class mixture in which each rule's vote is drawn by class, independently.
-
-    Starts from precise rules of low coverage: a bad vote is rare on good documents, and a bad
-    document breaks one rule of five. (Started from rules that hold each other to account
-    equally, EM gives kinds of bad documents that break one rule each to the good class.) Returns
-    prior and, by rule and vote, the log-odds of good. Votes a class never cast are smoothed by
-    half a document.
+    """EM for a mixture: good documents, and for each rule the bad ones of the kind that breaks it.
+
+    Given its kind a document's votes are independent. A bad document of kind j breaks rule j
+    (EXPECTED of the time, by definition of the kind); all else is estimated: how often each kind
+    occurs, each rule's false alarms on good documents, its votes on other kinds, and from those
+    its accuracy, the share of its bad votes that fall on bad documents. (With one class for all
+    bad documents EM fits the commonest kind and gives the others to the good class.) Votes never
+    cast are smoothed by half a document. Returns weights, tables (kind, rule, vote) and accuracy.
     """
-    if not patterns:
-        return {"prior": prior, "log_odds": []}
-    m = len(patterns[0][0])
-    table = [[{1: 0.96, 0: 0.03, -1: 0.01} for _ in range(m)], [{1: 0.75, 0: 0.05, -1: 0.2} for _ in range(m)]]
+    m = len(patterns[0][0]) if patterns else 0
+    usual, bad = {1: 0.95, 0: 0.04, -1: 0.01}, {1: (1 - EXPECTED) / 2, 0: (1 - EXPECTED) / 2, -1: EXPECTED}
+    weights = [prior] + [(1 - prior) / max(m, 1)] * m
+    tables = [[bad if k == j + 1 else usual for j in range(m)] for k in range(m + 1)]
     total = sum(n for _, n in patterns)
-    for _ in range(iterations):
-        sums = [[{1: 0.5, 0: 0.5, -1: 0.5} for _ in range(m)] for _ in range(2)]
-        mass = 0.0
-        for votes_, n in patterns:
-            odds = math.log(prior / (1 - prior)) + sum(math.log(table[0][j][v] / table[1][j][v]) for j, v in enumerate(votes_))
-            good = n / (1 + math.exp(-max(-60.0, min(60.0, odds))))
-            mass += good
-            for j, v in enumerate(votes_):
-                sums[0][j][v] += good
-                sums[1][j][v] += n - good
-        prior = min(1 - 1e-6, max(1e-6, mass / total))
-        table = [[{v: x / sum(s.values()) for v, x in s.items()} for s in side] for side in sums]
-    odds = [{v: math.log(table[0][j][v] / table[1][j][v]) for v in (1, 0, -1)} for j in range(m)]
-    return {"prior": prior, "log_odds": odds, "accuracy": [(t[1], f[-1]) for t, f in zip(*table, strict=True)]}
+    accuracy: list[float] = []
+    for _ in range(iterations if total else 0):
+        mass = [0.5] * (m + 1)
+        sums = [[{1: 0.5, 0: 0.5, -1: 0.5} for _ in range(m)] for _ in range(m + 1)]
+        for cast, n in patterns:
+            p = [w * math.prod(t[j][v] for j, v in enumerate(cast)) for w, t in zip(weights, tables, strict=True)]
+            for k, x in enumerate(p):
+                share = n * x / sum(p)
+                mass[k] += share
+                for j, v in enumerate(cast):
+                    sums[k][j][v] += share
+        weights = [x / sum(mass) for x in mass]
+        tables = [[bad if k == j + 1 else {v: x / sum(s.values()) for v, x in s.items()} for j, s in enumerate(side)] for k, side in enumerate(sums)]
+        accuracy = [1 - sums[0][j][-1] / sum(s[j][-1] for s in sums) for j in range(m)]
+    return {"weights": weights, "tables": tables, "accuracy": accuracy}
 
 
 def posterior(model: dict, names: list[str]) -> Column:
     """The probability of good, as an expression of the vote columns."""
-    odds = F.lit(math.log(model["prior"] / (1 - model["prior"])))
-    for name, by in zip(names, model["log_odds"], strict=False):
-        v = F.col(name)
-        odds = odds + F.when(v == 1, by[1]).when(v == -1, by[-1]).otherwise(by[0])
-    return 1 / (1 + F.exp(-odds))
+    bad = F.lit(0.0)
+    for weight, table in list(zip(model["weights"], model["tables"], strict=True))[1:]:
+        odds = F.lit(math.log(weight / model["weights"][0]))
+        for name, kind, good in zip(names, table, model["tables"][0], strict=True):
+            by = {v: math.log(kind[v] / good[v]) for v in (1, 0, -1)}
+            odds = odds + F.when(F.col(name) == 1, by[1]).when(F.col(name) == -1, by[-1]).otherwise(by[0])
+        bad = bad + F.exp(odds)
+    return 1 / (1 + bad)
 
 
 def judge(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
