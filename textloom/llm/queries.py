@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from textloom.llm import line_dedup, minhash, mixing, quality_rules, url_filter
+from textloom.llm import decontamination, line_dedup, minhash, mixing, quality_classifier, quality_rules, url_filter
 
 Q = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_decontamination": decontamination.op6_decontamination,
+    "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_mixing": mixing.op9_mixing,
     "op10_minhash": minhash.op10_minhash,
