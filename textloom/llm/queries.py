@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from textloom.llm import decontamination, line_dedup, minhash, mixing, quality_classifier, quality_rules, url_filter
+from textloom.llm import decontamination, line_dedup, minhash, mixing, quality_classifier, quality_rules, url_filter, warc
 
 Q = {
+    "op1_warc": warc.op1_warc,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_decontamination": decontamination.op6_decontamination,
@@ -15,6 +16,7 @@ Q = {
 }
 
 SQL = {
+    "op1_warc": warc.OP1_SQL,
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op8_url_filter": url_filter.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
