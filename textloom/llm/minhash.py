@@ -10,8 +10,9 @@ table with probability (1 - (1 - 0.85 ** 3) ** 8) ** 2 = 0.999.
 2. Collections that no other class shares can't make a table key that another class has, so only
    shared ones are combined into keys.
 3. In each table every class is confirmed against the least of its bucket: a star, not all pairs.
-4. Only buckets that still hold several components get the pairs across them (size ratio permitting),
-   which makes the links whole: every pair that shares a bucket is confirmed or already connected.
+4. Only buckets that still hold several components get the pairs across them, which makes the links
+   whole: every pair that shares a bucket is confirmed, already connected, or ruled out because
+   the items that the two sets share with any other set there are too few.
 """
 
 from __future__ import annotations
@@ -85,6 +86,17 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return j.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def shared_counts(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """rows (key, id, n, ...) with m: how many of a set's items occur in another set of rows too.
+
+    What only one set has can be in no intersection, so m bounds them all: of copies that each
+    have edits of their own, most pairs are ruled out before a set is carried.
+    """
+    here = sets.join(rows.select("id").distinct(), "id", "left_semi").select("id", F.explode("items").alias("item"))
+    alone = here.groupBy("item").agg(F.count("*").alias("k"), F.min("id").alias("id")).filter("k = 1").groupBy("id").agg(F.count("*").alias("u"))
+    return rows.join(alone, "id", "left").withColumn("m", F.col("n") - F.coalesce("u", F.lit(0))).drop("u")
+
+
 def _ratio(percent: int, x: str, y: str):
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
@@ -111,9 +123,13 @@ def components(docs: DataFrame, percent: int = PERCENT, collections: int = COLLE
     labelled = rows.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     rest = cut(labelled.join(mixed, "key"))
-    x = rest.select("key", F.col("id").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"))
-    y = rest.select("key", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"))
-    across = x.join(y, "key").filter((F.col("ac") != F.col("bc")) & (F.col("a") < F.col("b")) & _ratio(percent, "an", "bn"))
+    rest = cut(shared_counts(rest, sets).filter(100 * F.col("m") >= percent * F.col("n")))
+    x = rest.select("key", *[F.col(c).alias(f"a{c}") for c in ("id", "n", "m", "component")])
+    y = rest.select("key", *[F.col(c).alias(f"b{c}") for c in ("id", "n", "m", "component")])
+    most = F.least("am", "bm")  # that two sets can have in common
+    close = 100 * most >= percent * (F.col("an") + F.col("bn") - most)
+    across = x.join(y, "key").filter((F.col("acomponent") != F.col("bcomponent")) & (F.col("aid") < F.col("bid")) & close)
+    across = across.select(F.col("aid").alias("a"), F.col("bid").alias("b"))
     across = across.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
     every = links.unionByName(cut(confirm(across, sets, percent)))
     label = cut(connected_components(every))
