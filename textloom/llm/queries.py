@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from textloom.llm import decontamination, language_id, line_dedup, minhash, mixing, quality_classifier, quality_rules, url_filter, warc
+from textloom.llm import decontamination, language_id, line_dedup, minhash, mixing, quality_classifier, quality_rules, suffix_dedup, url_filter, warc
 
 Q = {
     "op1_warc": warc.op1_warc,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_language_id": language_id.op3_language_id,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
