@@ -320,8 +320,10 @@ def counted_spans(contexts: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["c1", "c2", "d", "h1", "h2"])
 
     rows = map_batches(contexts.select("c1", "c2", "left", "right"), strings, "c1 bigint, c2 bigint, d int, h1 bigint, h2 bigint")
-    twice = rows.groupBy("h1", "h2").agg(F.count("*").alias("k")).filter("k > 1").select("h1", "h2")
-    return rows.join(twice, ["h1", "h2"]).groupBy("c1", "c2").agg(F.max("d").alias("before"), (F.lit(SIZE) - F.min("d")).cast("int").alias("after"))
+    # by offset too: one string with two anchors is counted once for each
+    same = ["h1", "h2", "d"]
+    twice = rows.groupBy(*same).agg(F.count("*").alias("k")).filter("k > 1").select(*same)
+    return rows.join(twice, same).groupBy("c1", "c2").agg(F.max("d").alias("before"), (F.lit(SIZE) - F.min("d")).cast("int").alias("after"))
 
 
 # --- the whole -------------------------------------------------------------------------------
