@@ -68,13 +68,13 @@ def _sets(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def bucket_rows(classes: DataFrame, collections: int) -> DataFrame:
-    """(key, id, n): a row for each table in which both collections of a class are shared with others."""
+    """(key, id, n, i, j): a row for each table (i, j) in which both collections of a class are shared with others."""
     parts = classes.select("id", "n", F.posexplode("keys").alias("c", "v"))
     shared = parts.groupBy("c", "v").agg(F.count("*").alias("k")).filter("k > 1").select("c", "v")
     mine = parts.join(shared, ["c", "v"]).groupBy("id", "n").agg(F.collect_list(F.struct("c", "v")).alias("s"))
     left, right = (F.filter("s", lambda x: x["c"] < collections), F.filter("s", lambda x: x["c"] >= collections))
     pairs = mine.select("id", "n", F.explode(left).alias("l"), right.alias("r")).select("id", "n", "l", F.explode("r").alias("r"))
-    return pairs.select(F.xxhash64("l.c", "l.v", "r.c", "r.v").alias("key"), "id", "n")
+    return pairs.select(F.xxhash64("l.c", "l.v", "r.c", "r.v").alias("key"), "id", "n", F.col("l.c").alias("i"), F.col("r.c").alias("j"))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -97,6 +97,13 @@ def shared_counts(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.join(alone, "id", "left").withColumn("m", F.col("n") - F.coalesce("u", F.lit(0))).drop("u")
 
 
+def first_table(collections: int):
+    """Whether (i, j) is the first table of the pair, so that one met in many tables comes out of one."""
+    same = F.zip_with("akeys", "bkeys", lambda x, y: x == y)
+    right = F.slice(same, collections + 1, collections)
+    return (F.array_position(same, True) == F.col("i") + 1) & (F.array_position(right, True) == F.col("j") - collections + 1)
+
+
 def _ratio(percent: int, x: str, y: str):
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
@@ -124,11 +131,12 @@ def components(docs: DataFrame, percent: int = PERCENT, collections: int = COLLE
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     rest = cut(labelled.join(mixed, "key"))
     rest = cut(shared_counts(rest, sets).filter(100 * F.col("m") >= percent * F.col("n")))
-    x = rest.select("key", *[F.col(c).alias(f"a{c}") for c in ("id", "n", "m", "component")])
-    y = rest.select("key", *[F.col(c).alias(f"b{c}") for c in ("id", "n", "m", "component")])
+    rest = rest.join(classes.select("id", "keys"), "id")
+    x = rest.select("key", "i", "j", *[F.col(c).alias(f"a{c}") for c in ("id", "n", "m", "component", "keys")])
+    y = rest.select("key", *[F.col(c).alias(f"b{c}") for c in ("id", "n", "m", "component", "keys")])
     most = F.least("am", "bm")  # that two sets can have in common
     close = 100 * most >= percent * (F.col("an") + F.col("bn") - most)
-    across = x.join(y, "key").filter((F.col("acomponent") != F.col("bcomponent")) & (F.col("aid") < F.col("bid")) & close)
+    across = x.join(y, "key").filter((F.col("acomponent") != F.col("bcomponent")) & (F.col("aid") < F.col("bid")) & close & first_table(collections))
     across = across.select(F.col("aid").alias("a"), F.col("bid").alias("b"))
     across = across.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
     every = links.unionByName(cut(confirm(across, sets, percent)))
