@@ -1,0 +1,111 @@
+"""Expected values are literals worked out by hand from the rules."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from textloom.functions import classify, html, text, urls
+from textloom.operators import jobs
+
+
+def values(spark, inputs, expression):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(inputs)], "i int, v string")
+    return [r[0] for r in df.orderBy("i").select(expression(F.col("v"))).collect()]
+
+
+def check(spark, cases, expression):
+    assert values(spark, [c[0] for c in cases], expression) == [c[1] for c in cases]
+
+
+def test_entities(spark):
+    check(spark, [
+        ("&amp;lt;", "<"), ("&#38;#x41;", "A"), ("&copy;", "&copy;"), ("&#1114112;", "&#1114112;"), ("&#x1F600;", "\U0001F600"),
+        ("&NBSP;|&QUOT;|&#39;&#x27;", ' |"|\'\''), ("x&#38;&#65;y&#287;", "x&Ayğ"), ("&#99999999999999999999;", "&#99999999999999999999;"),
+        ("&#00067;", "C"), ("&#xFFFFFFFFFF;", "&#xFFFFFFFFFF;"), ("&#55296;", "�"), (None, ""), ("plain", "plain"),
+    ], text.decode_entities)
+
+
+def test_mojibake(spark):
+    check(spark, [("Ã¼", "ü"), ("ÃÂ‡", "Ç"), ("â€\u009dq", '"q'), ("â€“", "-"), ("Â foo", " foo"), (None, "")], text.repair_mojibake)
+    check(spark, [("Â foo", " foo"), (" a \xa0 b　", "a b"), ("a﻿　b", "a b")], text.normalize_text)
+    check(spark, [("ÃÄ x", 2), ("plain", 0)], text.mojibake_score)
+
+
+def test_lengths_and_truncation(spark):
+    check(spark, [("a\U0001F600", 3), ("abc", 3)], text.utf16_length)
+    check(spark, [("abcdef", "abcd"), ("abc\U0001F600d", "abc"), ("ab\U0001F600d", "ab\U0001F600"), ("\U0001F600", "\U0001F600")], lambda c: text.truncate_text(c, 4))
+
+
+def test_decoding(spark):
+    rows = [(b"caf\xc3\xa9", "café"), (b"caf\xe9", "caf\ufffd"), (b"\xef\xbb\xbfok", "ok"), (b"\x93q\x94", "\ufffdq\ufffd"), (b"", "")]
+    df = spark.createDataFrame([(i, b) for i, (b, _) in enumerate(rows)], "i int, b binary").orderBy("i")
+    assert [r[0] for r in df.select(text.decode_body(F.col("b"))).collect()] == [x for _, x in rows]
+    western = df.select(text.decode_windows1252(F.col("b"))).collect()
+    assert western[1][0] == "café" and western[3][0] == "“q”"
+
+
+def test_html(spark):
+    check(spark, [
+        ("1 < 2</p>x", "1 < 2 x"), ("<script>a", "a"), ("<scripté>x</script>y", "y"), ("<scripts>x</scripts>", "x"), ("&lt;b&gt;", "<b>"),
+        ("a<!-- x\ny -->b", "a b"), ("<svg><p>n</p></svg>t", "t"), ("", ""), (None, ""),
+    ], html.text_of)
+    check(spark, [("<TITLE a=1>x\n<b>y</b></title><title>z</title>", "x y"), ("<titlefoo>q</title>", "q"), ("none", "")], html.title_of)
+
+
+def test_predicates(spark):
+    check(spark, [("x" * 80, False), ("x" * 81, True), ("x" * 90 + " Access Denied", False), ("Loading..." + "x" * 90, False)], lambda c: classify.rendered_success(F.lit("t"), c))
+    check(spark, [("x" * 80, False), ("x" * 79, True)], classify.still_loading)
+    check(spark, [("TEXT/html; a", True), (None, False), ("image/png", False)], classify.is_html)
+    long = "y" * 600
+    check(spark, [(long, False), (long + "Just A Moment", True), ("short", True), (None, True), (long + "__NEXT_DATA__", True)], lambda c: classify.needs_browser(F.lit(200), c, F.lit("z" * 100)))
+
+
+@pytest.mark.parametrize("host, private", [
+    ("localhost", True), ("a.localhost", True), ("x.local", True), ("127.1.1.1", True), ("10.example.com", True), ("172.32.0.1", False), ("172.016.0.1", True),
+    ("172.31.0.1", True), ("fcbarcelona.com", True), ("[::1]", False), ("example.com", False), ("0.0.0.0", True),
+])
+def test_private_hosts(spark, host, private):
+    assert values(spark, [host], urls.is_private_host) == [private]
+
+
+def test_strict_private_hosts(spark):
+    check(spark, [("fdic.gov", False), ("[::1]", True), ("[fd00::1]", True), ("10.1.1.1", True)], urls.is_private_host_strict)
+
+
+@pytest.mark.parametrize("given, canonical", [
+    ("HTTP://EX.com", "http://ex.com/"), (" http://ex.com:80/a/../b/./c ", "http://ex.com/b/c"), ("https://ex.com:8443/x?q=a b#f g", "https://ex.com:8443/x?q=a%20b#f%20g"),
+    ("http://ex.com\\a\\b", "http://ex.com/a/b"), ("http:ex.com", "http://ex.com/"), ("http://u:p@ex.com/", "http://u:p@ex.com/"), ("http://2130706433/", "http://127.0.0.1/"),
+    ("http://0x7f.1/", "http://127.0.0.1/"), ("http://[2001:db8:0:0::1]/", "http://[2001:db8::1]/"), ("http://bücher.de/ü", "http://xn--bcher-kva.de/%C3%BC"), ("http://ex.com/%2e%2e/a", "http://ex.com/a"),
+    ("http://a_b.com/", "http://a_b.com/"), ("http://ex.com/a/..", "http://ex.com/"), ("ht\ntp://ex.com/", "http://ex.com/"), ("http://ex.com?x", "http://ex.com/?x"),
+])
+def test_canonical(given, canonical):
+    assert urls.canonicalize(given) == (canonical, None)
+
+
+@pytest.mark.parametrize("given, error", [
+    ("nonsense", urls.INVALID_URL), ("http://", urls.INVALID_URL), ("http://ex.com:99999/", urls.INVALID_URL), ("http://a b.com/", urls.INVALID_URL), ("http://[::1/", urls.INVALID_URL),
+    ("ftp://ex.com/", urls.ONLY_HTTP), ("mailto:a@b.c", urls.ONLY_HTTP), ("http://256.1.1.1/", urls.INVALID_URL),
+])
+def test_rejected(given, error):
+    assert urls.canonicalize(given) == (None, error)
+
+
+def test_special_and_component(spark):
+    check(spark, [("https://www.flashscore.com/mac/1", True), ("https://www.flashscore.com/x/1", False), (None, False)], urls.is_special_site)
+    check(spark, [("a%20b+c", "a b+c"), ("%zz", None)], urls.decode_component)
+
+
+@pytest.mark.parametrize("page, limit, expected", [
+    (None, None, (1, 10, 0)), ("0", "0", (1, 1, 0)), ("2", "7", (2, 7, 7)), ("abc", "", (1, 10, 0)), ("3", "1e3", (3, 20, 40)), ("1.9", "Infinity", (1, 10, 0)), ("0x2", "5", (2, 5, 5)), ("1d", "-4", (1, 1, 0)),
+])
+def test_page_arguments(page, limit, expected):
+    assert jobs.page_arguments(page, limit) == expected
+
+
+def test_job_math(spark):
+    df = spark.createDataFrame([(3, 0, 0), (2, 2, 2), (0, 0, 0), (8, 1, 0), (2, 2, 0)], "t long, c long, f long")
+    t, c = F.col("t"), F.col("c")
+    got = [tuple(r) for r in df.select(jobs.job_status(t, c, F.col("f")), jobs.progress(t, c), jobs.pending(t, c)).collect()]
+    assert got == [("queued", 0, 3), ("completed_with_errors", 100, 0), ("queued", 0, 0), ("processing", 13, 7), ("completed", 100, 0)]
+    d = spark.range(1, 7)
+    assert [r[0] for r in d.select(text.retry_delay_seconds(F.col("id"))).collect()] == [2, 4, 8, 16, 30, 30]
+    assert [r[0] for r in spark.createDataFrame([(7,), (1000,)], "n long").select(text.pad_number(F.col("n"), 3)).collect()] == ["007", "1000"]
