@@ -38,7 +38,10 @@ def cut(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    context._jvm.System.gc()
+    return out
 
 
 def fresh(df: DataFrame, stem: str) -> str:

@@ -330,14 +330,14 @@ def counted_spans(contexts: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, large: int = LARGE) -> tuple[DataFrame, DataFrame]:
-    """(documents that may hold repeats: k1, k2, text; spans: k1, k2, from, to in bytes). docs: k1, k2, text."""
-    found = cut(map_batches(docs, _anchor_rows, f"{KEY}, pos array<bigint>, core array<bigint>"))
+    """(documents that may hold repeats, as docs; spans: k1, k2, from, to in bytes). docs: doc_id, k1, k2, text."""
+    found = cut(map_batches(docs.select("k1", "k2", "text"), _anchor_rows, f"{KEY}, pos array<bigint>, core array<bigint>"))
     places = found.select("k1", "k2", F.explode(F.arrays_zip("pos", "core")).alias("x")).select("k1", "k2", "x.pos", "x.core")
     often = places.groupBy("core").agg(F.count("*").alias("k")).filter("k > 1").select("core")
     some = places.join(often, "core").groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "core")).alias("p"))
     some = some.select("k1", "k2", F.col("p.pos").alias("pos"), F.col("p.core").alias("core"))
-    held = cut(docs.join(some, ["k1", "k2"]).select("k1", "k2", "text", "pos", "core"))
-    members = cut(map_batches(held, _member_rows, f"{KEY}, pos bigint, core bigint, c1 bigint, c2 bigint, l int, r int"))
+    held = cut(docs.join(some, ["k1", "k2"]).select("doc_id", "k1", "k2", "text", "pos", "core"))
+    members = cut(map_batches(held.drop("doc_id"), _member_rows, f"{KEY}, pos bigint, core bigint, c1 bigint, c2 bigint, l int, r int"))
     classes = cut(
         members.groupBy("c1", "c2").agg(
             F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("at"), F.first("core").alias("core"), F.first("l").alias("l"), F.first("r").alias("r")
@@ -346,7 +346,7 @@ def repeated_spans(docs: DataFrame, large: int = LARGE) -> tuple[DataFrame, Data
     cores = classes.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     open_ = classes.join(cores, "core").select("c1", "c2", "n", "at", "kinds")
     wanted = open_.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("c1", "c2", "n", F.col("at.pos").alias("pos"))).alias("wanted"))
-    texts = held.select("k1", "k2", "text").dropDuplicates(["k1", "k2"]).join(wanted, ["k1", "k2"])
+    texts = held.select("k1", "k2", "text").join(wanted, ["k1", "k2"])
     contexts = cut(map_batches(texts.select("text", "wanted"), _context_rows, "c1 bigint, c2 bigint, n bigint, left binary, right binary"))
     sizes = open_.select("c1", "c2", (F.col("kinds") > large).alias("big"))
     n_big, n = (open_.agg(F.count_if(F.col("kinds") > large), F.count("*")).first()[i] for i in (0, 1))
@@ -358,7 +358,7 @@ def repeated_spans(docs: DataFrame, large: int = LARGE) -> tuple[DataFrame, Data
         settled = settled.unionByName(sorted_spans(contexts, n))
     by_class = settled.groupBy("c1", "c2").agg(F.max("before").alias("before"), F.max("after").alias("after"))
     spans = members.join(by_class, ["c1", "c2"]).select("k1", "k2", (F.col("pos") - F.col("before")).alias("from"), (F.col("pos") + F.col("after")).alias("to"))
-    return held.select("k1", "k2", "text"), spans
+    return held.select("doc_id", "k1", "k2", "text"), spans
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -398,12 +398,11 @@ def dedup(docs: DataFrame, large: int = LARGE) -> DataFrame:
     rows. Only texts with spans meet their spans; the digests of the others come from the scan.
     """
     keyed = docs.select("doc_id", "text", F.xxhash64(F.lit(1), "doc_id", "text").alias("k1"), F.xxhash64(F.lit(2), "text", "doc_id").alias("k2"))
-    held, spans = repeated_spans(keyed.select("k1", "k2", "text"), large)
+    held, spans = repeated_spans(keyed.select("doc_id", "k1", "k2", "text"), large)
     listed = cut(spans.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("from", "to")).alias("spans")))
     ids = keyed.select("doc_id", "k1", "k2", F.octet_length("text").alias("n"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<from: bigint, to: bigint>>"
-    texts = held.dropDuplicates(["k1", "k2"]).join(listed, ["k1", "k2"])
-    changed = map_batches(ids.select("doc_id", "k1", "k2").join(texts, ["k1", "k2"]).select("doc_id", "text", "spans"), _removed, schema)
+    changed = map_batches(held.join(listed, ["k1", "k2"]).select("doc_id", "text", "spans"), _removed, schema)
     same = ids.join(listed.select("k1", "k2"), ["k1", "k2"], "left_anti").select(
         "doc_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"),
         F.col("sha").alias("kept_sha256"), F.array().cast("array<struct<from: bigint, to: bigint>>").alias("spans"),
