@@ -21,6 +21,9 @@ MAX_REPEATED = 50  # per cent of words
 ITERATIONS = 60
 PRIOR = 0.8
 EXPECTED = 0.998
+#: Weight, in shares of all documents, of the belief that good ones break a rule twice in a thousand.
+STRENGTH = 0.1
+SMOOTH = 0.01
 THRESHOLD = 0.5
 
 #: (name, ratio, good up to, bad from): in between a rule abstains.
@@ -93,17 +96,17 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], iterations: int = ITERATION
     occurs, each rule's false alarms on good documents, its votes on other kinds, and from those
     its accuracy, the share of its bad votes that fall on bad documents. (With one class for all
     bad documents EM fits the commonest kind and gives the others to the good class.) Votes never
-    cast are smoothed by half a document. Returns weights, tables (kind, rule, vote) and accuracy.
+    cast count as SMOOTH documents, and false alarms are held to be rare (STRENGTH). Returns weights, tables (kind, rule, vote) and accuracy.
     """
     m = len(patterns[0][0]) if patterns else 0
-    usual, bad = {1: 0.95, 0: 0.04, -1: 0.01}, {1: (1 - EXPECTED) / 2, 0: (1 - EXPECTED) / 2, -1: EXPECTED}
+    usual, bad = {1: 0.958, 0: 0.04, -1: 0.002}, {1: (1 - EXPECTED) / 2, 0: (1 - EXPECTED) / 2, -1: EXPECTED}
     weights = [prior] + [(1 - prior) / max(m, 1)] * m
     tables = [[bad if k == j + 1 else usual for j in range(m)] for k in range(m + 1)]
     total = sum(n for _, n in patterns)
     accuracy: list[float] = []
     for _ in range(iterations if total else 0):
-        mass = [0.5] * (m + 1)
-        sums = [[{1: 0.5, 0: 0.5, -1: 0.5} for _ in range(m)] for _ in range(m + 1)]
+        mass = [SMOOTH] * (m + 1)
+        sums = [[{v: SMOOTH + STRENGTH * total * usual[v] * (k == 0) for v in (1, 0, -1)} for _ in range(m)] for k in range(m + 1)]
         for cast, n in patterns:
             p = [w * math.prod(t[j][v] for j, v in enumerate(cast)) for w, t in zip(weights, tables, strict=True)]
             for k, x in enumerate(p):
