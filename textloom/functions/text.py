@@ -60,10 +60,23 @@ def stringify(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def bind(c: Column, f) -> Column:
+    """f(c) with c evaluated once, however often f refers to it.
+
+    Without it each reference repeats the whole chain below: three references at each of five
+    steps put a page's regular expressions into the plan more than a hundred times.
+    """
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def decode_named_entities(c: Column) -> Column:
-    for entity, plain in NAMED_ENTITIES:
-        c = F.regexp_replace(c, F.lit(f"(?i){entity}"), F.lit(plain))
-    return c
+    def decoded(x: Column) -> Column:
+        y = x
+        for entity, plain in NAMED_ENTITIES:
+            y = F.regexp_replace(y, F.lit(f"(?i){entity}"), F.lit(plain))
+        return F.when(x.contains("&"), y).otherwise(x)
+
+    return bind(c, decoded)
 
 
 def _code_point(n: Column, source: Column) -> Column:
@@ -88,10 +101,13 @@ def _decode_numeric(c: Column, pattern: str, prefix: int, base: int, digits: int
         n = F.conv(F.when(F.length(code) <= digits, code), base, 10).cast("bigint")
         return _code_point(F.when(n <= 0x10FFFF, n), entity)
 
-    pieces = F.split(c, pattern, -1)
-    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    woven = F.zip_with(pieces, found, lambda a, b: F.concat(a, F.when(b.isNull(), "").otherwise(char_of(b))))
-    return F.when(c.rlike(pattern), F.array_join(woven, "")).otherwise(c)
+    def decoded(x: Column) -> Column:
+        pieces = F.split(x, pattern, -1)
+        found = F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
+        woven = F.zip_with(pieces, found, lambda a, b: F.concat(a, F.when(b.isNull(), "").otherwise(char_of(b))))
+        return F.when(x.rlike(pattern), F.array_join(woven, "")).otherwise(x)
+
+    return bind(c, decoded)
 
 
 def decode_decimal_entities(c: Column) -> Column:
@@ -113,10 +129,15 @@ def collapse_whitespace(c: Column) -> Column:
 
 def repair_mojibake(c: Column) -> Column:
     """Two passes: deleting a stray mark in the first can complete a pair for the second."""
-    c = stringify(c)
-    for broken, repaired in MOJIBAKE * 2:
-        c = F.replace(c, F.lit(broken), F.lit(repaired))
-    return c
+    leads = "[" + "".join(sorted({a[0] for a, _ in MOJIBAKE})) + "]"
+
+    def repaired(x: Column) -> Column:
+        y = x
+        for broken, good in MOJIBAKE * 2:
+            y = F.replace(y, F.lit(broken), F.lit(good))
+        return F.when(x.rlike(leads), y).otherwise(x)
+
+    return bind(stringify(c), repaired)
 
 
 def normalize_text(c: Column) -> Column:
@@ -151,12 +172,16 @@ def decode_windows1252(body: Column) -> Column:
 
 def decode_body(body: Column) -> Column:
     """The decoding with fewer mojibake marks; UTF-8 wins ties, an empty one loses."""
-    utf8, western = decode_utf8(body), decode_windows1252(body)
-    return (
-        F.when((utf8 != "") & (mojibake_score(utf8) <= mojibake_score(western)), utf8)
-        .when(western != "", western)
-        .otherwise(utf8)
-    )
+
+    def chosen(both: Column) -> Column:
+        utf8, western = both["u"], both["w"]
+        return (
+            F.when((utf8 != "") & (mojibake_score(utf8) <= mojibake_score(western)), utf8)
+            .when(western != "", western)
+            .otherwise(utf8)
+        )
+
+    return bind(F.struct(decode_utf8(body).alias("u"), decode_windows1252(body).alias("w")), chosen)
 
 
 def utf16_length(c: Column) -> Column:
