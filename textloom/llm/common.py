@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,10 +39,9 @@ def cut(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-"))
-    out = df.checkpoint(eager=True)
-    del df
+    gc.collect()
     context._jvm.System.gc()
-    return out
+    return df.checkpoint(eager=True)
 
 
 def fresh(df: DataFrame, stem: str) -> str:

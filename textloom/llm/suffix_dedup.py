@@ -267,12 +267,14 @@ def _merge_range(f: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["c1", "c2", "before", "after"])
 
 
-def sorted_spans(contexts: DataFrame, n: int) -> DataFrame:
-    """(c1, c2, before, after) from contexts (c1, c2, n, left, right), n of them, by merge sort."""
+def sorted_spans(contexts: DataFrame, some: DataFrame, n: int) -> DataFrame:
+    """(c1, c2, before, after) from contexts (c1, c2, n, left, right), n of them, by merge sort.
+
+    some: about SAMPLE of them, for the splitters, which are cores: contexts that share one are
+    settled together.
+    """
     ranges = max(1, -(-n // IN_RANGE))
-    share = F.pmod(F.xxhash64("c1", "c2"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / max(n, 1)))
-    # splitters are cores: contexts that share one are settled together
-    sample = sorted(bytes(r[0]) for r in contexts.filter(share).select(F.substring("right", 1, SIZE - REACH)).limit(4 * SAMPLE).collect())
+    sample = sorted(bytes(r[0]) for r in some.select(F.substring("right", 1, SIZE - REACH)).collect()) if ranges > 1 else []
     splitters = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
 
     def runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -345,17 +347,20 @@ def repeated_spans(docs: DataFrame, large: int = LARGE) -> tuple[DataFrame, Data
     )
     cores = classes.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     open_ = classes.join(cores, "core").select("c1", "c2", "n", "at", "kinds")
-    wanted = open_.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("c1", "c2", "n", F.col("at.pos").alias("pos"))).alias("wanted"))
-    texts = held.select("k1", "k2", "text").join(wanted, ["k1", "k2"])
-    contexts = cut(map_batches(texts.select("text", "wanted"), _context_rows, "c1 bigint, c2 bigint, n bigint, left binary, right binary"))
-    sizes = open_.select("c1", "c2", (F.col("kinds") > large).alias("big"))
     n_big, n = (open_.agg(F.count_if(F.col("kinds") > large), F.count("*")).first()[i] for i in (0, 1))
+
+    def contexts_of(chosen: DataFrame, few: bool = False) -> DataFrame:
+        wanted = chosen.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("c1", "c2", "n", F.col("at.pos").alias("pos"))).alias("wanted"))
+        texts = held.select("k1", "k2", "text").join(F.broadcast(wanted) if few else wanted, ["k1", "k2"])
+        return map_batches(texts.select("text", "wanted"), _context_rows, "c1 bigint, c2 bigint, n bigint, left binary, right binary")
+
+    share = F.pmod(F.xxhash64("c1", "c2"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / max(n, 1)))
+    some = contexts_of(open_.filter(share).limit(2 * SAMPLE), few=True)
     settled = classes.filter(F.col("n") > 1).filter(F.col("l") + F.col("r") >= SIZE).select("c1", "c2", F.col("l").alias("before"), F.col("r").alias("after"))
     if n_big:
-        sized = contexts.join(sizes, ["c1", "c2"])
-        settled = settled.unionByName(counted_spans(sized.filter("big"))).unionByName(sorted_spans(sized.filter("NOT big"), n - n_big))
-    elif n:
-        settled = settled.unionByName(sorted_spans(contexts, n))
+        settled = settled.unionByName(counted_spans(contexts_of(open_.filter(F.col("kinds") > large))))
+    if n > n_big:
+        settled = settled.unionByName(sorted_spans(contexts_of(open_.filter(F.col("kinds") <= large)), some, n - n_big))
     by_class = settled.groupBy("c1", "c2").agg(F.max("before").alias("before"), F.max("after").alias("after"))
     spans = members.join(by_class, ["c1", "c2"]).select("k1", "k2", (F.col("pos") - F.col("before")).alias("from"), (F.col("pos") + F.col("after")).alias("to"))
     return held.select("doc_id", "k1", "k2", "text"), spans
