@@ -105,9 +105,10 @@ def repeats():
     return texts
 
 
-@pytest.mark.parametrize("pairwise, large", [(40, 20_000), (0, 20_000), (40, 2)])
-def test_suffix_dedup(spark, repeats, monkeypatch, pairwise, large):
+@pytest.mark.parametrize("pairwise, large, in_range", [(40, 20_000, 20_000), (0, 20_000, 10), (40, 2, 20_000)])
+def test_suffix_dedup(spark, repeats, monkeypatch, pairwise, large, in_range):
     monkeypatch.setattr(suffix_dedup, "PAIRWISE", pairwise)
+    monkeypatch.setattr(suffix_dedup, "IN_RANGE", in_range)
     docs = spark.createDataFrame(list(enumerate(repeats)), "doc_id long, text string")
     got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.dedup(docs, large).collect()}
     assert [got[i] for i in range(len(repeats))] == brute_removed(repeats)
