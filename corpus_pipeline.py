@@ -15,6 +15,10 @@ from textloom.llm.common import WORD, cut, read
 
 ORACLE_SQL = None
 
+#: Near copies are pairs at a similarity of 0.8 or more over five-word shingles. Such a pair meets in some
+#: table with probability (1 - (1 - 0.8 ** 3) ** 11) ** 2 = 0.999; op10's 8 collections would give 0.994.
+NEAR_PERCENT, NEAR_COLLECTIONS = 80, 11
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier accepts. Of rows that share an id, all stay if one is accepted."""
@@ -33,7 +37,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the least id, once."""
-    kept = minhash.components(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    kept = minhash.components(docs, NEAR_PERCENT, NEAR_COLLECTIONS).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
 
 
