@@ -20,12 +20,23 @@ ORACLE_SQL = None
 NEAR_PERCENT, NEAR_COLLECTIONS = 80, 11
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with _text, a hash of the text, _row, one of id and text, and _all, one of every column; null is a value of its own."""
+    value = lambda c: [F.col(c).isNull(), F.col(c)]
+    row = F.xxhash64(*value("doc_id"), *value("text"))
+    every = F.xxhash64(F.lit(1), *[v for c in docs.columns for v in value(c)])
+    return docs.withColumns({"_text": F.xxhash64(*value("text")), "_row": row, "_all": every})
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the classifier accepts. Of rows that share an id, all stay if one is accepted."""
+    """Documents the classifier accepts, each by its own text: rows that share an id, null included, are judged apart."""
     labels = quality_classifier.learning_labels(read(spark, sf_dir, "labels"))
-    scored = quality_classifier.score(docs, labels)
-    accepted = scored.filter("predicted = 1").select(F.coalesce(F.col("doc_id"), F.lit(-1)).alias("_id")).distinct()
-    return docs.join(accepted, F.coalesce(docs["doc_id"], F.lit(-1)) == F.col("_id"), "left_semi")
+    rows = keyed(docs)
+    # the classifier's id is the row's key, so labels take the keys of the rows that have their id
+    of_rows = rows.select("doc_id", "_row").distinct().join(labels, "doc_id").select(F.col("_row").alias("doc_id"), "y")
+    scored = quality_classifier.score(rows.select(F.col("_row").alias("doc_id"), "text"), of_rows)
+    accepted = scored.filter("predicted = 1").select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(accepted, "_row", "left_semi").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,15 +47,29 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the least id, once."""
-    kept = minhash.components(docs, NEAR_PERCENT, NEAR_COLLECTIONS).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each group of copies and near copies: the one with the least id, once.
+
+    A null id comes after all others; ties go by text hash. Texts without words are in no
+    group: of rows that share id and text one stays. Rows that share an id but not the text are
+    documents of their own.
+    """
+    rows = keyed(docs)
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_text", "_all")
+    texts = rows.filter(worded).select(F.col("_text").alias("doc_id"), "text").distinct()
+    groups = minhash.components(texts, NEAR_PERCENT, NEAR_COLLECTIONS).select(F.col("doc_id").alias("_text"), "component_id")
+    firsts = rows.filter(worded).groupBy("_text").agg(F.min(order).alias("first")).join(groups, "_text")
+    kept = firsts.groupBy("component_id").agg(F.min("first").alias("first")).select("first._text", "first._all")
+    bare = rows.filter(~worded).groupBy("_row", "_text").agg(F.min("_all").alias("_all")).select("_text", "_all")
+    one = rows.join(kept.unionByName(bare), ["_text", "_all"], "left_semi").dropDuplicates(["_text", "_all"])
+    return one.select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that give away no benchmark item."""
-    found = decontamination.leaks(docs, read(spark, sf_dir, "benchmark", "item_id", "text"))
-    return docs.join(found.select(F.col("doc_id").alias("_id")).distinct(), docs["doc_id"] == F.col("_id"), "left_anti")
+    """Documents that give away no benchmark item, whatever their ids."""
+    rows = keyed(docs)
+    found = decontamination.leaks(rows.select(F.col("_row").alias("doc_id"), "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
+    return rows.join(found.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from test_duplicates import near_group, shingles
 from tests_llm_tools import words_of
@@ -43,3 +45,50 @@ def test_near_duplicates_from_80_percent(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     out = corpus_pipeline.near_duplicates(spark, docs, "")
     assert sorted(x.doc_id for x in out.collect()) == sorted(set(groups(texts)))
+
+
+SCHEMA = "doc_id long, text string, source string"
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    r = random.Random(22)
+    base, other, third = (" ".join(words_of(r, 80)) for _ in range(3))
+    near = base.replace(base.split()[40], "changed", 1)
+    rows = [
+        (None, base, "a"), (7, near, "a"), (5, base, "b"), (5, base, "a"),  # one group: id 5 stays, once
+        (None, other, "a"), (None, other, "b"), (None, other, "b"),  # one group without an id
+        (3, third, "a"), (3, " ".join(words_of(r, 80)), "a"), (3, " ".join(words_of(r, 80)), "a"),  # one id, texts apart
+        (8, "", "a"), (9, "", "a"), (9, "", "a"), (10, None, "a"), (None, " \n", "a"), (None, None, "a"),
+    ]
+    rows += [(None, " ".join(words_of(r, 60)), "c") for _ in range(20)]
+    texts = [t for _, t, _ in rows]
+    label = groups(texts)
+    want = set()
+    for g in set(label):
+        here = [x[:2] for x, k in zip(rows, label, strict=True) if k == g]
+        want.add(min(here, key=lambda x: (x[0] is None, x[0] or 0)))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = [tuple(x) for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert len(out) == len(want) and {x[:2] for x in out} == want
+    again = [tuple(x) for x in corpus_pipeline.near_duplicates(spark, docs.orderBy(F.desc("source"), "text").repartition(3), "").collect()]
+    assert sorted(out, key=repr) == sorted(again, key=repr)
+
+
+def test_benchmark_by_row(spark, tmp_path):
+    r = random.Random(23)
+    items = [(i, ". ".join(" ".join(words_of(r, 8)) for _ in range(4)) + ".") for i in range(4)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = [(i, " ".join(words_of(r, 150)), "a") for i in [None] * 10 + [5, 6, 6]]
+    bad = [(i, " ".join([*words_of(r, 60), items[k % 4][1], *words_of(r, 60)]), "a") for k, i in enumerate([None, None, 5, 7])]
+    out = corpus_pipeline.benchmark(spark, spark.createDataFrame([*clean, *bad], SCHEMA), str(tmp_path))
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(clean, key=repr)
+
+
+def test_quality_by_row(spark, tmp_path):
+    r = random.Random(24)
+    make = lambda good: " ".join(w + "***" * (not good) for w in words_of(r, 60))
+    learnt = [(i, make(i % 2), "a") for i in range(300)]
+    spark.createDataFrame([(i, i % 2, 0) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = [(i, make(good), str(good)) for i in (None, 500) for good in (0, 1) for _ in range(5)]
+    out = corpus_pipeline.quality(spark, spark.createDataFrame([*learnt, *rows], SCHEMA), str(tmp_path))
+    assert sorted(map(tuple, out.filter("source <> 'a'").collect()), key=repr) == sorted((x for x in rows if x[2] == "1"), key=repr)
