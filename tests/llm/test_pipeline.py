@@ -2,11 +2,14 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from test_duplicates import near_group, shingles
 from tests_llm_tools import words_of
+from textloom.llm import decontamination
 
 
 def groups(texts, percent=80):
@@ -92,3 +95,15 @@ def test_quality_by_row(spark, tmp_path):
     rows = [(i, make(good), str(good)) for i in (None, 500) for good in (0, 1) for _ in range(5)]
     out = corpus_pipeline.quality(spark, spark.createDataFrame([*learnt, *rows], SCHEMA), str(tmp_path))
     assert sorted(map(tuple, out.filter("source <> 'a'").collect()), key=repr) == sorted((x for x in rows if x[2] == "1"), key=repr)
+
+
+def test_place_that_meets_the_rule_comes_first():
+    r = np.random.default_rng(25)
+    table = np.vstack([np.hstack([r.normal(0, 0.125, (decontamination.BUCKETS, 64)), np.ones((decontamination.BUCKETS, 1))]), np.zeros((1, 65))]).astype(np.float32)
+    body, answer = [f"body{i}" for i in range(34)], [f"answer{i}" for i in range(6)]
+    fill = [f"fill{i}" for i in range(300)]
+    # 30 of 40 words without the answer, and 26 with it
+    doc = " ".join([*fill[:100], *body[:30], *fill[100:200], *body[14:], *answer, *fill[200:]])
+    item = " ".join(body) + ". " + " ".join(answer) + "."
+    got = decontamination.searcher([(1, item)], table, 0.3, 0.8, 0.6)(pd.DataFrame({"doc_id": [7], "text": [doc]}))
+    assert got[["doc_id", "item_id", "lcs"]].values.tolist() == [[7, 1, 0.65]]

@@ -251,7 +251,7 @@ def searcher(items: list[tuple[int, str]], table: np.ndarray, cosine: float, sur
         ids, texts_in = list(frame["doc_id"]), list(frame["text"])
         for (d, k), hits in sorted(found.items()):
             item, answer = texts[k]
-            best = (0.0, False, 0.0)
+            best = (False, 0.0, 0.0)
             for block, c in hits.items():
                 s = (block - int(first_block[d])) * STRIDE
                 lo, hi = max(0, s - len(item)), s + WINDOW + len(item)
@@ -263,11 +263,11 @@ def searcher(items: list[tuple[int, str]], table: np.ndarray, cosine: float, sur
                     continue
                 share = lcs(item, near) / len(item)
                 here = share >= sure or (share >= likely and lcs(answer, near) >= ANSWER * len(answer))
-                best = max(best, (share, here, c))
+                best = max(best, (here, share, c))  # a place that meets the rule before one that doesn't
                 if share == 1.0:
                     break
-            if best[1]:
-                rows.append((ids[d], known[k][0], best[2], best[0]))
+            if best[0]:
+                rows.append((ids[d], known[k][0], best[2], best[1]))
         return pd.DataFrame(rows, columns=["doc_id", "item_id", "cosine", "lcs"])
 
     return fn
