@@ -123,7 +123,7 @@ def test_suffix_dedup_odd_tables(spark, odd, empty):
 
 def test_loser_tree_merges_front_coded_runs():
     r = random.Random(12)
-    entries = [(bytes(r.choice(b"ab") for _ in range(r.randint(0, 9))), b"l", i, -i, 1) for i in range(300)]
+    entries = [(bytes(r.choice(b"ab") for _ in range(r.randint(0, 9))), b"l", i, -i, 1, 1, 9) for i in range(300)]
     for parts in (1, 2, 5, 8):
         runs = [sorted(entries[i::parts]) for i in range(parts)]
         coded = [suffix_dedup.front_code(run) for run in runs]

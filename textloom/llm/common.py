@@ -32,16 +32,30 @@ def word_array(text: Column) -> Column:
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder and read back: what follows survives lost executors.
 
-    The folder is the session's spark.checkpoint.dir; only where none is set (tests, one
-    machine) a temporary one is made.
+    The folder is the session's spark.checkpoint.dir. Only a local session (tests, one machine) gets
+    a temporary one; on a cluster a missing setting is an error. What df's own shuffles left on
+    disk goes when the driver has collected its garbage, which is asked for here.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="textloom-"))
+    out = df.checkpoint(eager=True)
+    del df
     gc.collect()
     context._jvm.System.gc()
-    return df.checkpoint(eager=True)
+    return out
+
+
+#: Rows of a few numbers or short strings, some MB: what a join may broadcast.
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """df, which cut() has written, with a broadcast hint if it has at most so many rows; larger ones are shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def fresh(df: DataFrame, stem: str) -> str:

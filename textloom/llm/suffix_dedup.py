@@ -8,24 +8,26 @@ at the same places, one of them in their first REACH bytes. Hence:
 
 1. Anchors whose next CORE = SIZE - REACH bytes occur once can't be in a repeat. They are counted
    by hash and left out; that leaves repeated text, whatever the corpus's size.
-2. An anchor's context is REACH bytes before it and SIZE bytes from it. Equal contexts form a class,
-   found by hash; a class of two or more is settled. One of each class goes on, if its core has
-   other classes too.
-3. Contexts are sorted by the bytes from the anchor. Each task sorts its own into runs, cuts them at
+2. An anchor's context is REACH bytes before it and SIZE bytes from it. Equal contexts are one entry
+   with a count, combined map-side, so that copies of a document are sorted once.
+3. Entries are sorted by the bytes from the anchor. Each task sorts its own into runs, cuts them at
    sampled splitters and sends them front-coded (what a suffix shares with the one before isn't
-   sent); each range is merged by a loser tree over (suffix, common prefix with the last winner),
-   which compares only beyond prefixes it knows. So each suffix comes with what it shares with its
-   neighbour.
-4. In a block that shares its core, contexts a and b with L common bytes before and R from the anchor
-   hold a repeat if L + R >= SIZE; the union over all b is one span. Blocks of more than PAIRWISE
-   contexts are settled for each offset by classes instead of by pairs.
-5. Cores with more than LARGE contexts would land in one task; their strings are counted one by one,
-   by hash, for each of the REACH offsets, in an aggregation that combines map-side.
+   sent; of one whose core no other entry has, the core is enough); each range is merged by a
+   loser tree over (suffix, common prefix with the last winner), which compares only beyond
+   prefixes it knows. So each suffix comes with what it shares with its neighbour.
+4. The merge settles every span. An entry counted twice or more is a repeat as far as its context
+   goes. In a block that shares its core, contexts a and b with L common bytes before and R from the
+   anchor hold a repeat if L + R >= SIZE; the union over all b is one span. Blocks of up to PAIRWISE
+   entries are compared pair by pair, larger ones offset by offset, with one result.
+5. A block is settled in one task, and one of more than LARGE entries is too much for that: its
+   strings are counted one by one, by hash, for each of the REACH offsets, in an aggregation that
+   combines map-side. This is exact too; tests hold both ways against brute force.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -38,7 +40,7 @@ from textloom.llm.common import cut
 from textloom.llm.vectext import PIECE, ROWS, map_batches, mix, powers
 
 SIZE, REACH, GRAM = 400, 200, 16
-PAIRWISE = 40
+PAIRWISE = 200
 LARGE = 20_000
 IN_RANGE = 20_000
 SAMPLE = 4000
@@ -77,6 +79,10 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return p, np.array([found[i] for i in p.tolist()], np.uint64)
 
 
+#: right, left, c1, c2, n, and the lengths of the whole context before the anchor and from it.
+Entry = tuple[bytes, bytes, int, int, int, int, int]
+
+
 def _encoded(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
@@ -102,17 +108,23 @@ def _member_rows(f: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["k1", "k2", "pos", "core", "c1", "c2", "l", "r"])
 
 
-def _context_rows(f: pd.DataFrame) -> pd.DataFrame:
-    rows = []
-    for t, wanted in zip(f["text"], f["wanted"], strict=True):
+def _entries(f: pd.DataFrame) -> Iterator[Entry]:
+    """The entries of a batch of texts; one that is alone with its core has no more than that."""
+    wanted = [f[c] for c in ("pos", "c1", "c2", "n", "l", "r", "kinds")]
+    for t, *lists in zip(f["text"], *wanted, strict=True):
         data = _encoded(t)
-        rows += [(w["c1"], w["c2"], w["n"], *context(data, w["pos"])) for w in wanted]
-    return pd.DataFrame(rows, columns=["c1", "c2", "n", "left", "right"])
+        for at, c1, c2, n, l, r, kinds in zip(*(x.tolist() for x in lists), strict=True):
+            left, right = context(data, at) if kinds > 1 else (b"", data[at : at + SIZE - REACH])
+            yield right, left, c1, c2, n, l, r
+
+
+def _cores(f: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"core": [e[0][: SIZE - REACH] for e in _entries(f)]})
 
 
 # --- sorted runs, front coding, loser tree ---------------------------------------------------
 
-Entry = tuple[bytes, bytes, int, int, int]  # right, left, c1, c2, n
+HEAD = struct.Struct("<HHHHHqqq")
 
 
 def common(a: bytes, b: bytes, start: int = 0) -> int:
@@ -132,24 +144,22 @@ def common(a: bytes, b: bytes, start: int = 0) -> int:
 
 def front_code(run: list[Entry]) -> bytes:
     out, before = [], b""
-    for right, left, c1, c2, n in run:
+    for right, left, c1, c2, n, l, r in run:
         k = common(before, right)
-        rest = right[k:]
-        out.append(k.to_bytes(2, "little") + len(rest).to_bytes(2, "little") + len(left).to_bytes(2, "little") + c1.to_bytes(8, "little", signed=True) + c2.to_bytes(8, "little", signed=True) + n.to_bytes(8, "little") + rest + left)
+        out += HEAD.pack(k, len(right) - k, len(left), l, r, c1, c2, n), right[k:], left
         before = right
     return b"".join(out)
 
 
 def front_decode(blob: bytes) -> Iterator[tuple[int, Entry]]:
     """(prefix shared with the entry before, entry)."""
-    at, before, of = 0, b"", int.from_bytes
+    at, before, size = 0, b"", HEAD.size
     while at < len(blob):
-        k, m, n = of(blob[at : at + 2], "little"), of(blob[at + 2 : at + 4], "little"), of(blob[at + 4 : at + 6], "little")
-        c1, c2, count = of(blob[at + 6 : at + 14], "little", signed=True), of(blob[at + 14 : at + 22], "little", signed=True), of(blob[at + 22 : at + 30], "little")
-        at += 30
+        k, m, of_left, l, r, c1, c2, n = HEAD.unpack_from(blob, at)
+        at += size
         before = before[:k] + blob[at : at + m]
-        yield k, (before, blob[at + m : at + m + n], c1, c2, count)
-        at += m + n
+        yield k, (before, blob[at + m : at + m + of_left], c1, c2, n, l, r)
+        at += m + of_left
 
 
 class LoserTree:
@@ -217,25 +227,32 @@ def _lefts(block: list[Entry]) -> np.ndarray:
 
 
 def settle(block: list[Entry], lcp: list[int]) -> list[tuple[int, int, int, int]]:
-    """(c1, c2, bytes before, bytes from the anchor) of each context that holds a repeat with another.
+    """(c1, c2, bytes before, bytes from the anchor) of each entry that holds a repeat.
 
-    block: contexts that share their core, sorted; lcp[i]: what i shares with i - 1.
+    block: entries that share their core, sorted; lcp[i]: what i shares with i - 1.
     """
     m = len(block)
-    if m < 2:
-        return []
-    a = _lefts(block)
-    if m <= PAIRWISE:
-        right = np.zeros((m, m), np.int32)
+    # an entry that occurs again is a repeat as far as its context goes
+    far, near = ([e[side] if e[4] > 1 and e[5] + e[6] >= SIZE else -1 for e in block] for side in (5, 6))
+    if 1 < m <= PAIRWISE:
         for i in range(m - 1):
-            right[i, i + 1 :] = np.minimum.accumulate(lcp[i + 1 :])
-        right += right.T
-        same = a[:, None, :] == a[None, :, :]
-        left = np.where(same.all(axis=2), REACH, np.argmin(same, axis=2)).astype(np.int32)
-        np.fill_diagonal(right, -SIZE)
-        ok = left + right >= SIZE
-        return [(block[i][2], block[i][3], int(left[i][ok[i]].max()), int(right[i][ok[i]].max())) for i in np.flatnonzero(ok.any(axis=1))]
-    far, near = np.full(m, -1), np.full(m, -1)
+            right, left = SIZE, block[i][1]
+            for j in range(i + 1, m):
+                right = min(right, lcp[j])
+                other, need = block[j][1], SIZE - right
+                if need <= len(left) and left[:need] == other[:need]:
+                    same = common(left, other, need)
+                    far[i], far[j] = max(far[i], same), max(far[j], same)
+                    near[i], near[j] = max(near[i], right), max(near[j], right)
+    elif m > 1:
+        _by_offset(block, lcp, far, near)
+    return [(e[2], e[3], x, y) for e, x, y in zip(block, far, near, strict=True) if x >= 0]
+
+
+def _by_offset(block: list[Entry], lcp: list[int], far: list[int], near: list[int]) -> None:
+    m = len(block)
+    a = _lefts(block)
+    most, least = np.full(m, -1), np.full(m, -1)
     steps = np.asarray(lcp)
     steps[0] = SIZE
     by_left = np.zeros(m, np.int64)
@@ -246,9 +263,10 @@ def settle(block: list[Entry], lcp: list[int]) -> list[tuple[int, int, int, int]
         _, which, counts = np.unique(by_left.astype(np.int64) * m + by_right, return_inverse=True, return_counts=True)
         # a context that ends before the string does isn't equal to its neighbour: lcp is at most its length
         hit = counts[which] > 1
-        far[hit] = d
-        near[hit & (near < 0)] = d
-    return [(block[i][2], block[i][3], int(far[i]), int(SIZE - near[i])) for i in np.flatnonzero(far >= 0)]
+        most[hit] = d
+        least[hit & (least < 0)] = d
+    for i in np.flatnonzero(most >= 0).tolist():
+        far[i], near[i] = max(far[i], int(most[i])), max(near[i], SIZE - int(least[i]))
 
 
 def _merge_range(f: pd.DataFrame) -> pd.DataFrame:
@@ -257,24 +275,29 @@ def _merge_range(f: pd.DataFrame) -> pd.DataFrame:
     out: list[tuple[int, int, int, int]] = []
     block: list[Entry] = []
     lcp: list[int] = []
+    seen: set[tuple[int, int]] = set()
+    least = SIZE  # prefix shared since the last entry that was taken
     for k, entry in LoserTree(runs):
         if block and k < SIZE - REACH:
             out += settle(block, lcp)
-            block, lcp = [], []
-        block.append(entry)
-        lcp.append(k)
+            block, lcp, seen, least = [], [], set(), SIZE
+        least = min(least, k)
+        if entry[2:4] not in seen:  # rows that repeat give their entries in several runs
+            seen.add(entry[2:4])
+            block.append(entry)
+            lcp.append(least)
+            least = SIZE
     out += settle(block, lcp)
     return pd.DataFrame(out, columns=["c1", "c2", "before", "after"])
 
 
-def sorted_spans(contexts: DataFrame, some: DataFrame, n: int) -> DataFrame:
-    """(c1, c2, before, after) from contexts (c1, c2, n, left, right), n of them, by merge sort.
+def sorted_spans(texts: DataFrame, sample: list[bytes], n: int) -> DataFrame:
+    """(c1, c2, before, after) of the n entries of texts (text; pos, c1, c2, n, l, r, kinds: arrays), by merge sort.
 
-    some: about SAMPLE of them, for the splitters, which are cores: contexts that share one are
-    settled together.
+    sample: about SAMPLE cores, for the splitters: entries that share one are settled together.
     """
     ranges = max(1, -(-n // IN_RANGE))
-    sample = sorted(bytes(r[0]) for r in some.select(F.substring("right", 1, SIZE - REACH)).collect()) if ranges > 1 else []
+    sample = sorted(sample)
     splitters = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
 
     def runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -282,49 +305,51 @@ def sorted_spans(contexts: DataFrame, some: DataFrame, n: int) -> DataFrame:
 
         rows: list[Entry] = []
         run = TaskContext.get().partitionId()
+        part = 0
 
-        def spill(part: int) -> pd.DataFrame:
+        def spill() -> pd.DataFrame:
+            nonlocal part
             rows.sort(key=lambda e: (e[0], e[2], e[3]))
+            rows[1:] = [e for e, d in zip(rows[1:], rows, strict=False) if e[2:4] != d[2:4]]
             out, start = [], 0
+            where = [bisect_right(splitters, e[0][: SIZE - REACH]) for e in rows]
             while start < len(rows):
-                where = bisect_right(splitters, rows[start][0][: SIZE - REACH])
                 end = start
-                while end < len(rows) and end - start < CHUNK_BYTES // SIZE and (end == start or bisect_right(splitters, rows[end][0][: SIZE - REACH]) == where):
+                while end < len(rows) and end - start < CHUNK_BYTES // SIZE and where[end] == where[start]:
                     end += 1
-                out.append((where, run, part, front_code(rows[start:end])))
+                out.append((where[start], run, part, front_code(rows[start:end])))
                 part += 1
                 start = end
             rows.clear()
             return pd.DataFrame(out, columns=["range", "run", "part", "blob"])
 
-        part = 0
         for f in frames:
-            rows += [(bytes(r), bytes(x), int(a), int(b), int(c)) for a, b, c, x, r in f.itertuples(index=False)]
-            if len(rows) >= 50_000:
-                yield (done := spill(part))
-                part += len(done)
-        yield spill(part)
+            for e in _entries(f):
+                rows.append(e)
+                if len(rows) >= 50_000:
+                    yield spill()
+        yield spill()
 
-    coded = contexts.select("c1", "c2", "n", "left", "right").mapInPandas(runs, "range int, run int, part int, blob binary")
+    coded = texts.mapInPandas(runs, "range int, run int, part int, blob binary")
     return coded.groupBy("range").applyInPandas(_merge_range, "c1 bigint, c2 bigint, before int, after int")
 
 
-def counted_spans(contexts: DataFrame) -> DataFrame:
-    """The same for cores with very many contexts: each string is counted by its hash."""
+def counted_spans(texts: DataFrame) -> DataFrame:
+    """The same for cores with very many entries: each string is counted by its hash."""
 
     def strings(f: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for c1, c2, left, right in zip(f["c1"], f["c2"], f["left"], f["right"], strict=True):
-            whole = bytes(left)[::-1] + bytes(right)
+        for right, left, c1, c2, n, _, _ in _entries(f):
+            whole = left[::-1] + right
             for d in range(max(0, SIZE - len(right)), len(left) + 1):
                 h = hashlib.blake2b(whole[len(left) - d :][:SIZE], digest_size=16).digest()
-                rows.append((c1, c2, d, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)))
-        return pd.DataFrame(rows, columns=["c1", "c2", "d", "h1", "h2"])
+                rows.append((c1, c2, n, d, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)))
+        return pd.DataFrame(rows, columns=["c1", "c2", "n", "d", "h1", "h2"])
 
-    rows = map_batches(contexts.select("c1", "c2", "left", "right"), strings, "c1 bigint, c2 bigint, d int, h1 bigint, h2 bigint")
+    rows = map_batches(texts, strings, "c1 bigint, c2 bigint, n bigint, d int, h1 bigint, h2 bigint")
     # by offset too: one string with two anchors is counted once for each
     same = ["h1", "h2", "d"]
-    twice = rows.groupBy(*same).agg(F.count("*").alias("k")).filter("k > 1").select(*same)
+    twice = cut(rows.groupBy(*same).agg(F.sum("n").alias("k")).filter("k > 1").select(*same))
     return rows.join(twice, same).groupBy("c1", "c2").agg(F.max("d").alias("before"), (F.lit(SIZE) - F.min("d")).cast("int").alias("after"))
 
 
@@ -332,36 +357,45 @@ def counted_spans(contexts: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, large: int = LARGE) -> tuple[DataFrame, DataFrame]:
-    """(documents that may hold repeats, as docs; spans: k1, k2, from, to in bytes). docs: doc_id, k1, k2, text."""
+    """(documents that may hold repeats, as docs; spans: k1, k2, from, to in bytes). docs: doc_id, k1, k2, text.
+
+    What a join takes from an aggregation is written first: its other side is then dealt by a shuffle
+    of its own, whose large partitions Spark splits, so that a core, context or row that a third of
+    all places share doesn't land in one task.
+    """
     found = cut(map_batches(docs.select("k1", "k2", "text"), _anchor_rows, f"{KEY}, pos array<bigint>, core array<bigint>"))
     places = found.select("k1", "k2", F.explode(F.arrays_zip("pos", "core")).alias("x")).select("k1", "k2", "x.pos", "x.core")
-    often = places.groupBy("core").agg(F.count("*").alias("k")).filter("k > 1").select("core")
+    often = cut(places.groupBy("core").agg(F.count("*").alias("k")).filter("k > 1").select("core"))
     some = places.join(often, "core").groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "core")).alias("p"))
-    some = some.select("k1", "k2", F.col("p.pos").alias("pos"), F.col("p.core").alias("core"))
+    some = cut(some.select("k1", "k2", F.col("p.pos").alias("pos"), F.col("p.core").alias("core")))
+    del found, places, often
     held = cut(docs.join(some, ["k1", "k2"]).select("doc_id", "k1", "k2", "text", "pos", "core"))
+    del some
     members = cut(map_batches(held.drop("doc_id"), _member_rows, f"{KEY}, pos bigint, core bigint, c1 bigint, c2 bigint, l int, r int"))
     classes = cut(
         members.groupBy("c1", "c2").agg(
             F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("at"), F.first("core").alias("core"), F.first("l").alias("l"), F.first("r").alias("r")
         )
     )
-    cores = classes.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    open_ = classes.join(cores, "core").select("c1", "c2", "n", "at", "kinds")
-    n_big, n = (open_.agg(F.count_if(F.col("kinds") > large), F.count("*")).first()[i] for i in (0, 1))
-
-    def contexts_of(chosen: DataFrame, few: bool = False) -> DataFrame:
-        wanted = chosen.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("c1", "c2", "n", F.col("at.pos").alias("pos"))).alias("wanted"))
-        texts = held.select("k1", "k2", "text").join(F.broadcast(wanted) if few else wanted, ["k1", "k2"])
-        return map_batches(texts.select("text", "wanted"), _context_rows, "c1 bigint, c2 bigint, n bigint, left binary, right binary")
+    cores = cut(classes.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
+    counted = cores.agg(F.coalesce(F.sum("kinds"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("kinds") > large, F.col("kinds"))), F.lit(0))).first()
+    n, n_big = classes.count(), counted[1]
+    entries = cut(classes.join(cores, "core", "left").select("c1", "c2", "n", "at", "l", "r", F.coalesce("kinds", F.lit(1)).alias("kinds")))
+    del classes, cores
+    lists = ["pos", "c1", "c2", "n", "l", "r", "kinds"]
+
+    def texts_of(chosen: DataFrame, few: bool = False) -> DataFrame:
+        """The texts that entries are taken from, with the entries. Rows that repeat give theirs again; the sort drops those."""
+        wanted = chosen.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), *lists[1:])).alias("w"))
+        wanted = wanted.select("k1", "k2", *[F.col("w")[c].alias(c) for c in lists])
+        return held.select("k1", "k2", "text").join(F.broadcast(wanted) if few else cut(wanted), ["k1", "k2"]).select("text", *lists)
 
     share = F.pmod(F.xxhash64("c1", "c2"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / max(n, 1)))
-    some = contexts_of(open_.filter(share).limit(2 * SAMPLE), few=True)
-    settled = classes.filter(F.col("n") > 1).filter(F.col("l") + F.col("r") >= SIZE).select("c1", "c2", F.col("l").alias("before"), F.col("r").alias("after"))
+    sample = map_batches(texts_of(entries.filter(share), few=True), _cores, "core binary").collect() if n > IN_RANGE else []  # about SAMPLE rows
+    settled = sorted_spans(texts_of(entries.filter(F.col("kinds") <= large)), [bytes(r[0]) for r in sample], n - n_big)
     if n_big:
-        settled = settled.unionByName(counted_spans(contexts_of(open_.filter(F.col("kinds") > large))))
-    if n > n_big:
-        settled = settled.unionByName(sorted_spans(contexts_of(open_.filter(F.col("kinds") <= large)), some, n - n_big))
-    by_class = settled.groupBy("c1", "c2").agg(F.max("before").alias("before"), F.max("after").alias("after"))
+        settled = settled.unionByName(counted_spans(texts_of(entries.filter(F.col("kinds") > large))))
+    by_class = cut(settled)
     spans = members.join(by_class, ["c1", "c2"]).select("k1", "k2", (F.col("pos") - F.col("before")).alias("from"), (F.col("pos") + F.col("after")).alias("to"))
     return held.select("doc_id", "k1", "k2", "text"), spans
 
@@ -404,7 +438,7 @@ def dedup(docs: DataFrame, large: int = LARGE) -> DataFrame:
     """
     keyed = docs.select("doc_id", "text", F.xxhash64(F.lit(1), "doc_id", "text").alias("k1"), F.xxhash64(F.lit(2), "text", "doc_id").alias("k2"))
     held, spans = repeated_spans(keyed.select("doc_id", "k1", "k2", "text"), large)
-    listed = cut(spans.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("from", "to")).alias("spans")))
+    listed = cut(spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("from", "to")).alias("spans")))
     ids = keyed.select("doc_id", "k1", "k2", F.octet_length("text").alias("n"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<from: bigint, to: bigint>>"
     changed = map_batches(held.join(listed, ["k1", "k2"]).select("doc_id", "text", "spans"), _removed, schema)
