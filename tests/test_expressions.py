@@ -109,3 +109,34 @@ def test_job_math(spark):
     d = spark.range(1, 7)
     assert [r[0] for r in d.select(text.retry_delay_seconds(F.col("id"))).collect()] == [2, 4, 8, 16, 30, 30]
     assert [r[0] for r in spark.createDataFrame([(7,), (1000,)], "n long").select(text.pad_number(F.col("n"), 3)).collect()] == ["007", "1000"]
+
+
+def test_markup_in_one_pass_equals_the_steps(spark):
+    import random
+
+    r = random.Random(1)
+    pieces = ["<script>", "</script>", "<SCRIPT a='>'>", "<style>", "</STYLE>", "<noscript x=1>", "</noscript>", "<svg/>", "</svg>", "<iframe ", "</iframe>", "<scripts>", "<styleé>", "<!--", "-->", "<!-->", "--",
+              "<p>", "</p>", "</h1>", "<br>", "</br >", "<a href='<b>'>", "<", ">", "< 2", "<>", "x", " y ", "\n", "é", "!", "/", "</"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randint(1, 9))) for _ in range(6000)]
+    texts += ["<p>" + "".join(r.choice(["<script>", "</script>", "<style>", "</style>", "a", "<!-- c -->", "<i>"]) for _ in range(6)) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    odd = [x for x in df.select("v", html.strip_markup(F.col("v")).alias("a"), html.strip_step_by_step(F.col("v")).alias("b")).collect() if x.a != x.b]
+    assert odd == []
+
+
+def test_plain_paths_equal_the_rules(spark):
+    import random
+
+    r = random.Random(2)
+    pieces = [e for e, _ in text.NAMED_ENTITIES] + ["&AMP;", "&Lt;", "&amp", "amp;", "lt;", "LT;", "&", ";", "#39;", "nbsp;", " ", "  ", "\t", "\n ", "\xa0", " ", "　", "﻿", "“", "x", "Ä", "A", "É"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randint(1, 8))) for _ in range(6000)]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+
+    def spelled(c):
+        for entity, plain in text.NAMED_ENTITIES:
+            c = F.regexp_replace(c, F.lit(f"(?i){entity}"), F.lit(plain))
+        return c
+
+    v = F.col("v")
+    rows = df.select("v", text.decode_named_entities(v).alias("a"), spelled(v).alias("b"), text.collapse_whitespace(v).alias("c"), F.trim(F.regexp_replace(v, text.WS_CLASS + "+", " ")).alias("d")).collect()
+    assert [x for x in rows if x.a != x.b or x.c != x.d] == []

@@ -6,13 +6,20 @@ UTF-16 units where a function says so; everything else counts code points.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAX_TEXT_LENGTH = 50_000
 
 #: What ECMAScript counts as whitespace, since Java's \s differs; reads the same in RE2.
-WS_CLASS = r"[\t\n\x0B\f\r \xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+WS_ASCII = r"\t\n\x0B\f\r "
+WS_OTHER = r"\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+WS_CLASS = f"[{WS_ASCII}{WS_OTHER}]"
+
+#: How the characters of WS_OTHER begin in UTF-8; a text without these bytes has none of them.
+WS_OTHER_BYTES = [b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80", b"\xef\xbb\xbf"]
 
 #: Entity and its replacement; the order decides double decoding.
 NAMED_ENTITIES = [
@@ -70,11 +77,15 @@ def bind(c: Column, f) -> Column:
 
 
 def decode_named_entities(c: Column) -> Column:
+    """Entities in lower case by plain search; regular expressions only where a capital may be part of one."""
+
     def decoded(x: Column) -> Column:
-        y = x
-        for entity, plain in NAMED_ENTITIES:
-            y = F.regexp_replace(y, F.lit(f"(?i){entity}"), F.lit(plain))
-        return F.when(x.contains("&"), y).otherwise(x)
+        plain = spelled = x
+        for entity, char in NAMED_ENTITIES:
+            plain = F.replace(plain, F.lit(entity), F.lit(char))
+            spelled = F.regexp_replace(spelled, F.lit(f"(?i){entity}"), F.lit(char))
+        # after a semicolon too: decoding &amp; puts an ampersand there
+        return F.when(~x.contains("&"), x).when(x.rlike("[&;][A-Za-z#0-9]*[A-Z]"), spelled).otherwise(plain)
 
     return bind(c, decoded)
 
@@ -105,7 +116,7 @@ def _decode_numeric(c: Column, pattern: str, prefix: int, base: int, digits: int
         pieces = F.split(x, pattern, -1)
         found = F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
         woven = F.zip_with(pieces, found, lambda a, b: F.concat(a, F.when(b.isNull(), "").otherwise(char_of(b))))
-        return F.when(x.rlike(pattern), F.array_join(woven, "")).otherwise(x)
+        return F.when(x.contains("&#") & x.rlike(pattern), F.array_join(woven, "")).otherwise(x)
 
     return bind(c, decoded)
 
@@ -124,7 +135,15 @@ def decode_entities(c: Column) -> Column:
 
 
 def collapse_whitespace(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, WS_CLASS + "+", " "))
+    """Runs of whitespace to one space, none at the ends. A lone space is no match: most are, and each match costs."""
+
+    def plain(x: Column) -> Column:
+        data = x.cast("binary")
+        other = reduce(lambda a, b: a | b, [F.contains(data, F.lit(p)) for p in WS_OTHER_BYTES])
+        return F.when(other, F.regexp_replace(x, f"[{WS_OTHER}]", " ")).otherwise(x)
+
+    runs = f" [{WS_ASCII}]+|[{WS_ASCII[:-1]}][{WS_ASCII}]*"
+    return F.trim(F.regexp_replace(bind(c, plain), runs, " "))
 
 
 def repair_mojibake(c: Column) -> Column:
@@ -135,7 +154,8 @@ def repair_mojibake(c: Column) -> Column:
         y = x
         for broken, good in MOJIBAKE * 2:
             y = F.replace(y, F.lit(broken), F.lit(good))
-        return F.when(x.rlike(leads), y).otherwise(x)
+        some = reduce(lambda a, b: a | b, [x.contains(broken) for broken, _ in MOJIBAKE])
+        return F.when(x.rlike(leads) & some, y).otherwise(x)
 
     return bind(stringify(c), repaired)
 
