@@ -1,9 +1,9 @@
 """URL filters: a blocked Bloom filter of listed canonical URLs, then an exact hash join.
 
-Only what passes the filter goes on to the join, which removes the false positives, so the
-verdict is exact whatever the filter's size. The filter is a table of blocks of 4 x 64 bits
-built by aggregation (bit_or combines map-side); a URL's hash picks the block and one bit in
-each word. It has as many blocks as the list needs, MAX_BLOCKS at most: up to there it is
+Every row is probed where it is read, before any shuffle. Only what passes the filter goes on to
+the join, which removes the false positives, so the verdict is exact whatever the filter's size.
+The filter is a table of blocks of 4 x 64 bits built by aggregation (bit_or combines map-side);
+a URL's hash picks the block and one bit in each word. It has as many blocks as the list needs, MAX_BLOCKS at most: up to there it is
 broadcast, being MAX_BLOCKS * 40 bytes at most. A longer list only makes it denser; past
 DENSE URLs a block the filter would pass everything and is left out, and all URLs go to
 the join.
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import fresh
+from textloom.llm.common import SMALL_ROWS, cut, fresh
 
 WORDS = 4
 URLS_PER_BLOCK = 16
@@ -61,61 +61,77 @@ def apply_rules(host: Column, path: Column, rules=RULES) -> tuple[Column, Column
     return rule, verdict
 
 
-def _slots(canon: Column, n_blocks: int) -> tuple[Column, list[Column]]:
-    block = F.pmod(F.xxhash64(canon), F.lit(n_blocks)).cast("int")
-    other = F.xxhash64(F.lit(7), canon)
-    one = F.lit(1).cast("bigint")
-    return block, [F.expr(f"shiftleft(1L, cast((shiftrightunsigned(`_o`, {6 * i}) & 63L) as int))") for i in range(WORDS)], other, one
+def slots(canon: Column, n_blocks: int) -> Column:
+    """struct<block, other>: the block of a canonical URL and the hash whose bits pick one bit in each of its words."""
+    return F.struct(F.pmod(F.xxhash64(canon), F.lit(n_blocks)).cast("int").alias("block"), F.xxhash64(F.lit(7), canon).alias("other"))
 
 
-def bloom_blocks(listed: DataFrame, canon: str, n_blocks: int) -> DataFrame:
-    """listed (distinct canonical URLs) to block, w0 to w3."""
-    block, bits, other, _ = _slots(F.col(canon), n_blocks)
-    rows = listed.select(block.alias("block"), other.alias("_o")).select("block", *[b.alias(f"w{i}") for i, b in enumerate(bits)])
-    return rows.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)])
-
+def _bit(other: Column, i: int) -> Column:
+    place = F.shiftrightunsigned(other, 6 * i).bitwiseAND(F.lit(63).cast("bigint")).cast("int")
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
 
-def might_match(df: DataFrame, canon: str, blocks: DataFrame, n_blocks: int, broadcast: bool = True) -> DataFrame:
-    """Rows of df whose canonical URL the filter passes."""
-    block, bits, other, _ = _slots(F.col(canon), n_blocks)
-    probe = df.withColumns({"_b": block, "_o": other})
-    j = probe.join(F.broadcast(blocks) if broadcast else blocks, F.col("_b") == F.col("block"))
-    for i, b in enumerate(bits):
-        j = j.filter((F.col(f"w{i}").bitwiseAND(b)) != 0)
-    return j.select(*df.columns)
 
+def bloom_blocks(listed: DataFrame, n_blocks: int) -> DataFrame:
+    """listed (canon: distinct canonical URLs) to block, w0 to w3."""
+    rows = listed.select(slots(F.col("canon"), n_blocks).alias("s")).select("s.block", *[_bit(F.col("s.other"), i).alias(f"w{i}") for i in range(WORDS)])
+    return rows.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)])
 
-def listed_matches(urls: DataFrame, listed: DataFrame, max_blocks: int = MAX_BLOCKS) -> DataFrame:
-    """Distinct canonical URLs of urls (canon) that are in listed (canon): filter, then exact semi join."""
-    known = listed.filter("canon IS NOT NULL").distinct()
-    n = known.count()
-    blocks = 1
-    while blocks < max_blocks and blocks * URLS_PER_BLOCK < n:
-        blocks *= 2
-    distinct = urls.filter("canon IS NOT NULL").distinct()
-    if n <= blocks * DENSE:
-        distinct = might_match(distinct, "canon", bloom_blocks(known, "canon", blocks), blocks)
-    return distinct.join(known, "canon", "left_semi")
 
+def probed(rows: DataFrame, canon: str, blocks: DataFrame, n_blocks: int) -> tuple[DataFrame, Column]:
+    """rows with two columns more, and whether the filter passes a row's canonical URL (null: no).
 
-def judge(pages: DataFrame, listed: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
+    A map-side join on one row a block, which keeps all rows where they are.
+    """
+    at = fresh(rows, "_slots")
+    bits = fresh(rows, "_block")
+    table = F.broadcast(blocks.select(F.struct(*blocks.columns).alias(bits)))  # MAX_BLOCKS rows of five numbers at most
+    j = rows.withColumn(at, F.when(F.col(canon).isNotNull(), slots(F.col(canon), n_blocks)))
+    j = j.join(table, F.col(at)["block"] == F.col(bits)["block"], "left")
+    passed = F.col(bits).isNotNull()
+    for i in range(WORDS):
+        passed = passed & (F.col(bits)[f"w{i}"].bitwiseAND(_bit(F.col(at)["other"], i)) != 0)
+    return j, F.coalesce(passed, F.lit(False))
+
+
+def candidates(rows: DataFrame, canon: str, listed: DataFrame, max_blocks: int = MAX_BLOCKS) -> tuple[DataFrame, Column]:
+    """rows with columns more, and the condition for those that may be in listed (canon, distinct): no false negatives."""
+    n = listed.count()
+    n_blocks = 1
+    while n_blocks < max_blocks and n_blocks * URLS_PER_BLOCK < n:
+        n_blocks *= 2
+    if n > n_blocks * DENSE:
+        return rows, F.col(canon).isNotNull()
+    return probed(rows, canon, bloom_blocks(listed, n_blocks), n_blocks)
+
+
+def judge(pages: DataFrame, listed: DataFrame, rules=RULES, url: str = "url", max_blocks: int = MAX_BLOCKS, small_rows: int = SMALL_ROWS) -> DataFrame:
     """pages with host, path, rule and verdict (and nothing of the same names from before).
 
     listed: canon, canonical URLs to block. A null url, or one without ://, has empty host and
     path, fits no rule and is allowed; repeated rows are judged alike; an empty list blocks none;
-    an empty table gives no rows. URLs meet the filter as distinct canonical forms, so a URL that
-    a third of the rows share is looked up once; the answer joins back, left outer on one row a key.
+    an empty table gives no rows; columns of pages keep their names and values.
+    What passes the filter is made distinct, map-side first, so a URL that a third of the rows
+    share is looked up once. Confirmed URLs go back to the rows by broadcast if they are
+    small_rows at most; else only the rows that passed are shuffled to them.
     """
     base = pages.drop("host", "path", "rule", "verdict")
-    canon = fresh(base, "canon_url")
+    canon, says = fresh(base, "_canon"), fresh(base, "_says")
     rows = base.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url)), canon: canonical(F.col(url))})
-    rule, says = apply_rules(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "_says": says})
-    open_urls = rows.filter(F.col("_says").isNull()).select(F.col(canon).alias("canon"))
-    hits = listed_matches(open_urls, listed).select(F.col("canon").alias("_hit"))
-    j = rows.join(hits, rows[canon] == F.col("_hit"), "left")
-    verdict = F.coalesce(F.col("_says"), F.when(F.col("_hit").isNotNull(), "block").otherwise("allow"))
-    return j.withColumn("verdict", verdict).drop(canon, "_says", "_hit")
+    rule, verdict = apply_rules(F.col("host"), F.col("path"), rules)
+    rows = rows.withColumns({"rule": rule, says: verdict})
+    rows = rows.withColumn(canon, F.when(F.col(says).isNull(), F.col(canon)))  # what a rule decides isn't looked up
+    known = cut(listed.select("canon").filter("canon IS NOT NULL").distinct())
+    marked, passed = candidates(rows, canon, known, max_blocks)
+    # the aggregation keeps the optimizer from joining before it has probed
+    hit = fresh(marked, "_hit")
+    hits = cut(marked.filter(passed).select(F.col(canon).alias("canon")).distinct().join(known, "canon")).select(F.col("canon").alias(hit))
+    if hits.limit(small_rows + 1).count() <= small_rows:
+        j = rows.join(F.broadcast(hits), F.col(canon) == F.col(hit), "left")
+    else:
+        j = marked.filter(passed).join(hits, F.col(canon) == F.col(hit), "left")
+        j = j.unionByName(marked.filter(~passed).withColumn(hit, F.lit(None).cast("string")))
+    blocked = F.when(F.col(hit).isNotNull(), "block").otherwise("allow")
+    return j.withColumn("verdict", F.coalesce(F.col(says), blocked)).select(*base.columns, "host", "path", "rule", "verdict")
 
 
 def op8_url_filter(spark, sf_dir: str) -> DataFrame:
