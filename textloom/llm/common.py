@@ -59,7 +59,8 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
 
 
 def fresh(df: DataFrame, stem: str) -> str:
-    """A column name that df doesn't have."""
-    while stem in df.columns:
+    """A column name that df doesn't have; case doesn't make a difference."""
+    have = {c.lower() for c in df.columns}
+    while stem.lower() in have:
         stem = "_" + stem
     return stem

@@ -4,7 +4,9 @@ Each line (trimmed, not blank) is a 128-bit hash. HyperLogLog sketches of its si
 aggregation, map-side first, so a line that every document has costs one small sketch a task.
 Lines whose estimate is within BAND of the threshold are counted exactly; the others are
 decided by their estimate, whose standard error is 1.6 % at 2 ** 12 registers. Only lines
-that might be boilerplate are joined back to their places.
+that might be boilerplate are joined back to their places. What such a join takes from an
+aggregation is written first; it's broadcast if it is small, else its other side is dealt by a
+shuffle of its own, of which Spark splits the partition of a line that a third of all rows have.
 
 The first place (smallest doc_id, then text hash, then position) keeps its copy, so of a
 group of copied documents the first stays whole.
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut
+from textloom.llm.common import cut, fresh, small
 
 MIN_SITES = 10
 BAND = 0.1
@@ -40,35 +42,37 @@ def boilerplate_places(docs: DataFrame, min_sites: int = MIN_SITES, band: float
     """_k1, _k2, pos of each line to remove."""
     lines = line_rows(docs)
     spread = lines.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("est"))
-    wide = spread.filter(F.col("est") >= min_sites * (1 - band))
-    places = cut(lines.join(wide, ["h1", "h2"]))
+    wide = cut(spread.filter(F.col("est") >= min_sites * (1 - band)))
+    places = cut(lines.join(small(wide), ["h1", "h2"]))
     near = places.filter(F.col("est") <= min_sites * (1 + band)).groupBy("h1", "h2").agg(F.countDistinct("site").alias("sites"))
     dropped = near.filter(F.col("sites") < min_sites).select("h1", "h2")
-    first = places.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "_k2", "pos")).alias("first")).join(dropped, ["h1", "h2"], "left_anti")
     here = F.struct("doc_id", "_k2", "pos")
-    return places.join(first, ["h1", "h2"]).filter(~here.eqNullSafe(F.col("first"))).select("_k1", "_k2", "pos")
+    first = cut(places.groupBy("h1", "h2").agg(F.min(here).alias("first")).join(dropped, ["h1", "h2"], "left_anti"))
+    return places.join(small(first), ["h1", "h2"]).filter(~here.eqNullSafe(F.col("first"))).select("_k1", "_k2", "pos")
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
     """docs with the remaining text, and n_lines and n_removed (lines; replaced if docs has them).
 
-    docs: doc_id, source, text and any more. Null text stays null, with 0 and 0; an empty text
-    has one line, blank, and stays; blank lines are never removed; an empty table gives no rows.
-    The lines to remove meet their document in one join on its key, so a document is the
-    largest group there is.
+    docs: doc_id, source, text and any more, whatever their names. Null text stays null, with 0 and 0;
+    an empty text has one line, blank, and stays; blank lines are never removed; rows that repeat
+    id and text are treated alike; an empty table gives no rows. The lines to remove meet their
+    document in one join on its key, so a document is the largest group there is.
     """
     gone = boilerplate_places(docs.select("doc_id", "source", "text"), min_sites, band)
-    gone = gone.groupBy("_k1", "_k2").agg(F.collect_set("pos").alias("_gone"))
     order = docs.drop("n_lines", "n_removed").columns
+    k1, k2, split, out = (fresh(docs, x) for x in ("_k1", "_k2", "_lines", "_gone"))
+    gone = cut(gone.groupBy(F.col("_k1").alias(k1), F.col("_k2").alias(k2)).agg(F.collect_set("pos").alias(out)))
+    keys = dict(zip((k1, k2), _keys().values(), strict=True))
     # lines are split below the join, so that expressions above it address them as a column
-    split = docs.withColumns({**_keys(), "_lines": F.split("text", "\n", -1)}).drop("text", "n_lines", "n_removed")
-    j = split.join(gone, ["_k1", "_k2"], "left")
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    kept = F.transform(left, lambda i: F.get(F.col("_lines"), i))
-    text = F.when(F.col("_gone").isNull(), F.array_join("_lines", "\n")).otherwise(F.array_join(kept, "\n"))
+    rows = docs.withColumns({**keys, split: F.split("text", "\n", -1)}).drop("text", "n_lines", "n_removed")
+    j = rows.join(gone, [k1, k2], "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(out))
+    kept = F.transform(left, lambda i: F.get(F.col(split), i))
+    text = F.when(F.col(out).isNull(), F.array_join(split, "\n")).otherwise(F.array_join(kept, "\n"))
     counts = {
-        "n_lines": F.coalesce(F.when(F.col("_lines").isNotNull(), F.size("_lines")), F.lit(0)).cast("bigint"),
-        "n_removed": F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("bigint"),
+        "n_lines": F.coalesce(F.when(F.col(split).isNotNull(), F.size(split)), F.lit(0)).cast("bigint"),
+        "n_removed": F.coalesce(F.when(F.col(out).isNotNull(), F.size(out)), F.lit(0)).cast("bigint"),
     }
     return j.withColumns({"text": text, **counts}).select(*order, "n_lines", "n_removed")
 
