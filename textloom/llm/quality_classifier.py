@@ -124,20 +124,22 @@ def fit(stats: DataFrame, labelled: DataFrame, max_rows: int = MAX_LABELLED) ->
     if not a[-2, -2]:
         return None
     model["beta"] = np.linalg.solve(a[:-1, :-1] + RIDGE * np.eye(d - 1) * max(1.0, a[-2, -2] / 1000), a[:-1, -1])
-    raw = rows.mapInPandas(_scorer(model), "doc_id bigint, score double").join(rows.filter("held").select("doc_id", "y"), "doc_id")
+    raw = rows.filter("held").mapInPandas(_scorer(model, "y"), "score double, y int")
     bins = raw.groupBy(F.floor((F.col("score") + 0.5) * (BINS / 2)).alias("bin")).agg(F.avg("score").alias("s"), F.sum("y").alias("y"), F.count("*").alias("n"))
     points = sorted((x["s"], float(x["y"]), float(x["n"])) for x in bins.collect())
     model["curve"] = pool_adjacent(points) if points else ([0.0, 1.0], [0.0, 1.0])
     return model
 
 
-def _scorer(model: dict):
+def _scorer(model: dict, beside: str = "doc_id"):
+    """Scores, with the column beside of the row they belong to."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             score = np.clip(fourier(np.array(f["x"].tolist()).reshape(-1, len(NAMES)), model) @ model["beta"], -0.5, 1.4999)
             if "curve" in model:
                 score = np.clip(np.interp(score, *model["curve"]), 0, 1)
-            yield pd.DataFrame({"doc_id": f["doc_id"], "score": score})
+            yield pd.DataFrame({beside: f[beside], "score": score})
 
     return run
 
