@@ -125,6 +125,56 @@ def test_decontamination(planted, empty):
     assert decontamination.leaks(docs, bench.limit(0)).count() == 0 and decontamination.leaks(empty, bench).count() == 0
 
 
+def everywhere(docs, items):
+    """The pairs that the rule finds at any place of any document, without a search."""
+    out = set()
+    for d, text in docs:
+        words = decontamination.plain((text or "").split())
+        for i, t in items:
+            item, answer = decontamination.plain((t or "").split()), decontamination.answer_of(t or "")
+            for s in range(0, len(words) if item else 0, decontamination.STRIDE):
+                near = words[max(0, s - len(item)) : s + decontamination.WINDOW + len(item)]
+                share = decontamination.lcs(item, near) / len(item)
+                if share >= decontamination.SURE or (share >= decontamination.LIKELY and decontamination.lcs(answer, near) >= decontamination.ANSWER * len(answer)):
+                    out.add((d, i))
+                    break
+    return out
+
+
+def test_recall_against_search_everywhere(spark, monkeypatch):
+    """Verbatim copies and paraphrases, items with common words, documents that only share those; production rank."""
+    r = random.Random(12)
+    common = words_of(r, 40)
+    text = lambda n: [r.choice(common) if r.random() < 0.5 else words_of(r, 1)[0] for _ in range(n)]
+    items = [(i, ". ".join(" ".join(text(r.randint(6, 12))) for _ in range(r.randint(2, 5))) + ".") for i in range(60)]
+    items += [(60, " ".join(r.choice(common) for _ in range(20)) + ".")]
+    docs = []
+    for d in range(240):
+        body = text(r.randint(30, 200))
+        if d % 2 == 0:
+            given = [w if r.random() > (d % 5) * 0.08 else words_of(r, 1)[0] for w in items[d % 61][1].split()]
+            at = r.randint(0, len(body))
+            body[at:at] = given
+        docs.append((d, " ".join(body)))
+    want = everywhere(docs, items)
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontamination.leaks(df, bench).collect()}
+    assert len(want) > 90 and got <= want and len(got) >= 0.97 * len(want)
+    # without the gate on shared words: it loses next to nothing
+    monkeypatch.setattr(decontamination, "SHARED", 0.0)
+    table = decontamination.fit(df, bench)
+    f = decontamination.searcher(items, table, decontamination.COSINE, decontamination.SURE, decontamination.LIKELY)(df.toPandas())
+    ungated = set(zip(f["doc_id"], f["item_id"], strict=True))
+    assert got <= ungated <= want and len(ungated - got) <= 0.01 * len(want)
+
+
+def test_items_in_several_passes(planted, monkeypatch):
+    docs, bench, want = planted
+    monkeypatch.setattr(decontamination, "ITEMS_AT_ONCE", 5)
+    got = {(x.doc_id, x.item_id) for x in decontamination.leaks(docs, bench, rank=48).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want)
+
+
 def test_document_frequencies_cover_all_documents(planted):
     docs, _, _ = planted
     df, n = decontamination.document_frequencies(docs)
