@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 INVALID_URL = "Geçersiz URL"
 ONLY_HTTP = "Yalnızca HTTP ve HTTPS destekleniyor"
 PRIVATE_HOST = "Yerel veya özel ağ adreslerine erişim yasak"
+NOT_JSON = "Geçerli JSON gövdesi gerekli"
 NOT_A_LIST = '"urls" bir dizi olmalı'
 NO_URL = "En az bir URL gerekli"
 TOO_MANY = "En fazla {} farklı URL gönderilebilir"

@@ -18,6 +18,17 @@ def iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
+def created_jobs(items: DataFrame) -> DataFrame:
+    """The JOB_LOG row of each job of new items (create_job)."""
+    jobs = items.groupBy(F.col("job_id").alias("id")).agg(F.count("*").alias("total"), F.min("created_at").alias("ts"))
+    return jobs.select("id", F.lit(0).cast("bigint").alias("seq"), F.lit("created").alias("kind"), "total", F.lit(None).cast("string").alias("error"), "ts")
+
+
+def lost_jobs(created: DataFrame, message: str, now: Column) -> DataFrame:
+    """The JOB_LOG rows that follow those of created if their messages couldn't be sent."""
+    return created.withColumns({"seq": F.lit(1).cast("bigint"), "kind": F.lit("enqueue_failed"), "error": F.lit(ENQUEUE_FAILED + message), "ts": now})
+
+
 def create_job(urls: DataFrame, job_id: Column, item_suffix: Column, now: Column) -> DataFrame:
     """Item rows of one job per row of urls (job key, urls array); every row shares `now`."""
     rows = urls.select(job_id.alias("job_id"), F.posexplode("urls").alias("_p", "url"))
@@ -72,11 +83,13 @@ def transition(kind: str, status: str | Column, **columns: Column) -> list[Colum
 def rollup(items: DataFrame) -> DataFrame:
     """Counters of every job at once; partial counts combine before the shuffle."""
     s = F.col("status")
+    times = [F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at")] if {"created_at", "updated_at"} <= set(items.columns) else []
     return items.groupBy("job_id").agg(
         F.count("*").alias("total"),
         F.count_if(s.isin(TERMINAL)).alias("completed"),
         F.count_if(s == "completed").alias("successful"),
         F.count_if(s == "failed").alias("failed"),
+        *times,
     )
 
 
@@ -97,11 +110,18 @@ def progress(total: Column, completed: Column) -> Column:
 
 
 def job_view(items: DataFrame, job_log: DataFrame | None = None) -> DataFrame:
-    """Jobs with status, pending and progress; an enqueue failure in job_log overrides the counters."""
+    """Jobs with status, pending and progress; an enqueue failure in job_log overrides the counters.
+
+    With the times of items, a job's too: created with its first item, updated with the last change of any.
+    """
     jobs = rollup(items)
+    times = [c for c in ("created_at", "updated_at") if c in jobs.columns]
     if job_log is not None:
-        lost = job_log.filter("kind = 'enqueue_failed'").groupBy(F.col("id").alias("job_id")).agg(F.lit(True).alias("_lost"))
+        at = [F.max("ts").alias("_at")] if times else []
+        lost = job_log.filter("kind = 'enqueue_failed'").groupBy(F.col("id").alias("job_id")).agg(F.lit(True).alias("_lost"), *at)
         jobs = jobs.join(lost, "job_id", "left")
+        if times:
+            jobs = jobs.withColumn("updated_at", F.greatest("updated_at", "_at"))
     else:
         jobs = jobs.withColumn("_lost", F.lit(None).cast("boolean"))
     lost, total = F.coalesce(F.col("_lost"), F.lit(False)), F.col("total")
@@ -110,7 +130,7 @@ def job_view(items: DataFrame, job_log: DataFrame | None = None) -> DataFrame:
     return jobs.select(
         "job_id", status.alias("status"), "total", done.alias("completed"),
         F.when(lost, 0).otherwise(F.col("successful")).alias("successful"), failed.alias("failed"),
-        pending(total, done).alias("pending"), progress(total, done).alias("progress"),
+        pending(total, done).alias("pending"), progress(total, done).alias("progress"), *times,
     )
 
 

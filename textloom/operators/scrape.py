@@ -55,20 +55,33 @@ def render_results(rendered: DataFrame, reasons: DataFrame) -> DataFrame:
     ))
 
 
-def scrape(requests: DataFrame, fetch: Callable[[DataFrame], DataFrame], render: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """requests (pos, url) to RESULT rows in input order.
+def refused(checked: DataFrame) -> DataFrame:
+    """Failure rows of requests (pos, url, error) that never reach a connector."""
+    return checked.select(*_row(pos=F.col("pos"), requestedUrl=F.col("url"), success=F.lit(False), error=F.col("error")))
 
-    Special sites never reach `fetch`, and only what needs a browser reaches `render`: stages
+
+def scrape(
+    requests: DataFrame, fetch: Callable[[DataFrame], DataFrame], render: Callable[[DataFrame], DataFrame], ordered: bool = False
+) -> DataFrame:
+    """requests (pos, url) to RESULT rows; pos has the input order.
+
+    URLs are checked and made canonical first: what isn't http or https, can't be parsed or names a
+    private host is a failure row and never fetched. ordered: sorted by pos, for requests capped
+    at some URLs; a sort of all texts of a large table would only cost. Special sites never reach `fetch`, and only what needs a browser reaches `render`: stages
     and filters, as Catalyst can't know what a connector costs. The judged rows are persisted:
     both branches read them, and a filter on reason pushed below the text columns would repeat
     their long chains.
     """
+    parsed = requests.select("pos", "url", urls.parse_url(F.col("url")).alias("p"))
+    bad = refused(parsed.filter("p.error IS NOT NULL").select("pos", "url", "p.error"))
+    requests = parsed.filter("p.error IS NULL").select("pos", F.col("p.canonical").alias("url"))
     special = urls.is_special_site(F.col("url"))
     skipped = requests.filter(special).select("pos", "url", F.lit(classify.REASON_SPECIAL).alias("reason"))
     judged = judge_fetched(fetch(requests.filter(~special))).drop("body", "_html").persist()
     waiting = judged.filter("reason IS NOT NULL").select("pos", "url", "reason").unionByName(skipped)
     done = render_results(render(waiting.select("pos", "url")), waiting)
-    return fetch_results(judged).unionByName(done).orderBy("pos")
+    out = fetch_results(judged).unionByName(done).unionByName(bad)
+    return out.orderBy("pos") if ordered else out
 
 
 def summarize(results: DataFrame, mode: str = "sync", with_results: bool = False) -> DataFrame:

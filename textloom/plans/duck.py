@@ -31,6 +31,10 @@ def decimal_entities(c: str) -> str:
     return numeric(c, "&#[0-9]+;", "try_cast(substr(m, 3, length(m) - 3) AS BIGINT)")
 
 
+def hex_entities(c: str) -> str:
+    return numeric(c, "&#[xX][0-9a-fA-F]+;", "try_cast('0x' || substr(m, 4, length(m) - 4) AS BIGINT)")
+
+
 def whitespace(c: str) -> str:
     return f"trim({rx(c, text.WS_CLASS + '+', ' ')}, ' ')"
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions import classify, html, text, urls
+from textloom.functions import classify, html, routes, text, urls
 from textloom.operators import jobs, scrape, url_list
 from textloom.plans import duck
 from textloom.sources.tables import table
@@ -81,6 +81,16 @@ def entities_numeric(spark, d):
     return table(spark, d, "pages", "page_id", "url").select("page_id", text.decode_entities(c).alias("decoded"))
 
 
+HEX = [" x&#x26;y&#X41;", " &#x26;#65;", " none", " &#x1F600; &#x110000; &#x00043;"]
+_hex = f"(url || {sql_pick('page_id', HEX)})"
+
+
+@query("entities_hex", f"SELECT page_id, {duck.hex_entities('u')} AS decoded FROM (SELECT page_id, {_hex} AS u FROM pages)")
+def entities_hex(spark, d):
+    c = F.concat("url", pick("page_id", HEX))
+    return table(spark, d, "pages", "page_id", "url").select("page_id", text.decode_hex_entities(c).alias("decoded"))
+
+
 _broken = ["", " Ã¼ Â® x", " ÃÂ‡", " Â lead", " â€™sÂ"]
 
 
@@ -139,50 +149,100 @@ def page_routing(spark, d):
     return p.select("page_id", needs.alias("needs"), reason.alias("reason"), classify.fetch_success(F.col("status")).alias("fetch_ok"))
 
 
+@query("routing_special", f"""
+SELECT page_id, CASE WHEN page_id % 3 = 0 THEN {duck.lit(classify.REASON_SPECIAL)} WHEN page_id % 5 = 1 THEN 'no route ' || page_id
+  WHEN NOT contains(lower(content_type), 'text/html') THEN {duck.lit(classify.REASON_NOT_HTML)} || CASE WHEN content_type = '' THEN {duck.lit(classify.UNKNOWN_TYPE)} ELSE content_type END
+  WHEN needs THEN {duck.lit(classify.REASON_SCRIPTED)} END AS reason
+FROM (SELECT page_id, content_type, {duck.needs_browser('status', 'h', 't')} AS needs
+  FROM (SELECT *, {duck.body('h')} AS t FROM (SELECT page_id, {INJECTED} AS h, {_STATUS} AS status, {_TYPE} AS content_type FROM pages)))""")
+def routing_special(spark, d):
+    """The reason with every branch: a special site, a fetch error, another type, a page that needs a browser."""
+    made = F.concat(F.lit("https://www.flashscore.com"), F.when(F.col("page_id") % 3 == 0, "/mac/").otherwise("/m/"), F.col("page_id").cast("string"))
+    error = F.when(F.col("page_id") % 5 == 1, F.concat(F.lit("no route "), F.col("page_id").cast("string")))
+    reason = classify.fallback_reason(urls.is_special_site(made), error, F.col("content_type"), F.col("status"), F.col("html"), F.col("text"))
+    return judged(spark, d).select("page_id", reason.alias("reason"))
+
+
+_PATHS = ["/", "/scrape", "/scrape-many", "/jobs", "/jobs/a%20b+{}", "/jobs/{}/results", "/jobs/{}/x", "/batch", "/jobs/", "/other"]
+_VERBS = ["GET", "POST", "OPTIONS"]
+
+
+@query("routes", f"""
+SELECT page_id, CASE WHEN verb = 'OPTIONS' THEN '{routes.PREFLIGHT}' WHEN verb = 'POST' THEN CASE k WHEN 2 THEN 'scrape_many' WHEN 3 THEN 'create_job' WHEN 7 THEN 'batch' END
+  ELSE CASE WHEN k <= 1 THEN 'single' WHEN k = 4 THEN 'job' WHEN k = 5 THEN 'job_results' END END AS endpoint,
+  CASE WHEN verb = 'GET' AND k = 4 THEN 'a b+' || page_id WHEN verb = 'GET' AND k = 5 THEN page_id::VARCHAR END AS job_id
+FROM (SELECT page_id, page_id % {len(_PATHS)} AS k, {sql_pick('page_id', _VERBS)} AS verb FROM pages)""")
+def route_requests(spark, d):
+    path = F.replace(pick("page_id", _PATHS), F.lit("{}"), F.col("page_id").cast("string"))
+    return table(spark, d, "pages", "page_id").withColumn("r", routes.match_route(pick("page_id", _VERBS), path)).select("page_id", "r.endpoint", "r.job_id")
+
+
+@query("json_rows", """SELECT '{"event_id":' || event_id || ',"event_type":"' || event_type || '","error":null}' AS body FROM events""")
+def json_rows(spark, d):
+    return routes.to_json(table(spark, d, "events", "event_id", "event_type").withColumn("error", F.lit(None).cast("string")))
+
+
 _phrases = ["", " Loading...", " Access DENIED", " unusual traffic", ""]
-_shown = f"CASE WHEN turn % 7 = 6 THEN left(text, 80) ELSE text END || {sql_pick('conv_id', _phrases)}"
+
+
+def _sql_outcome(t: str) -> tuple[str, str]:
+    shown = f"lower(role || ' ' || {t})"
+    return duck.any_of(shown, classify.BLOCKED_PHRASES), f"(contains({t}, 'Loading...') OR length({t}) < 80)"
+
+
+_whole, _edge = _sql_outcome("t"), _sql_outcome("e")
 
 
 @query("render_outcome", f"""
-SELECT conv_id, turn, blocked, loading, NOT loading AND NOT blocked AND length(t) > 80 AS success FROM (
-SELECT conv_id, turn, t, {duck.any_of("lower(role || ' ' || t)", classify.BLOCKED_PHRASES)} AS blocked, contains(t, 'Loading...') OR length(t) < 80 AS loading
-FROM (SELECT conv_id, turn, role, {_shown} AS t FROM conversations))""")
+SELECT conv_id, turn, {_whole[0]} AS blocked, {_whole[1]} AS loading, NOT {_whole[1]} AND NOT {_whole[0]} AND length(t) > 80 AS success,
+  {_edge[1]} AS edge_loading, NOT {_edge[1]} AND NOT {_edge[0]} AND length(e) > 80 AS edge_success
+FROM (SELECT conv_id, turn, role, text || {sql_pick('conv_id', _phrases)} AS t, repeat('x', 78 + (turn % 5)::INTEGER) AS e FROM conversations)""")
 def render_outcome(spark, d):
-    shown = F.concat(F.when(F.col("turn") % 7 == 6, F.substring("text", 1, 80)).otherwise(F.col("text")), pick("conv_id", _phrases))
-    c = table(spark, d, "conversations").withColumn("t", shown)
-    role, t = F.col("role"), F.col("t")
-    return c.select("conv_id", "turn", classify.is_blocked(role, t).alias("blocked"), classify.still_loading(t).alias("loading"), classify.rendered_success(role, t).alias("success"))
+    """Every whole text with a phrase by conversation; beside it texts of about the least length that succeeds."""
+    c = table(spark, d, "conversations").withColumns({"t": F.concat("text", pick("conv_id", _phrases)), "e": F.repeat(F.lit("x"), (78 + F.col("turn") % 5).cast("int"))})
+    role, t, e = F.col("role"), F.col("t"), F.col("e")
+    return c.select(
+        "conv_id", "turn", classify.is_blocked(role, t).alias("blocked"), classify.still_loading(t).alias("loading"), classify.rendered_success(role, t).alias("success"),
+        classify.still_loading(e).alias("edge_loading"), classify.rendered_success(role, e).alias("edge_success"),
+    )
+
+
+def _sql_private(h: str) -> str:
+    return (
+        f"({h} IN ('localhost', '0.0.0.0', '::1') OR suffix({h}, '.localhost') OR suffix({h}, '.local') OR regexp_matches({h}, '^(127|10|192\\.168|169\\.254)\\.')"
+        f" OR regexp_matches({h}, '^172\\.(1[6-9]|2[0-9]|3[01])\\.') OR regexp_matches({h}, '^(fc|fd|fe80:)'))"
+    )
+
 
+_HOST = "regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1)"
 
-@query("url_private", f"""
-SELECT page_id, h AS host, h IN ('localhost', '0.0.0.0', '::1') OR suffix(h, '.localhost') OR suffix(h, '.local')
-  OR regexp_matches(h, '^(127|10|192\\.168|169\\.254)\\.') OR regexp_matches(h, '^172\\.(1[6-9]|2[0-9]|3[01])\\.')
-  OR regexp_matches(h, '^(fc|fd|fe80:)') AS private
-FROM (SELECT page_id, {sql_pick('page_id', HOSTS)} AS h FROM pages)""")
+
+@query("url_private", f"SELECT page_id, h AS host, {_sql_private('h')} AS private, own_host, {_sql_private('own_host')} AS own_private FROM (SELECT page_id, {sql_pick('page_id', HOSTS)} AS h, {_HOST} AS own_host FROM pages)")
 def url_private(spark, d):
-    h = table(spark, d, "pages", "page_id").withColumn("host", pick("page_id", HOSTS))
-    return h.select("page_id", "host", urls.is_private_host(F.col("host")).alias("private"))
+    """The host of every page, and beside it one of each shape that the rules name."""
+    h = table(spark, d, "pages", "page_id", "url").select("page_id", pick("page_id", HOSTS).alias("host"), urls.host_of(F.col("url")).alias("own_host"))
+    return h.select("page_id", "host", urls.is_private_host(F.col("host")).alias("private"), "own_host", urls.is_private_host(F.col("own_host")).alias("own_private"))
 
 
-@query("url_special", """
-SELECT page_id, page_id % 3 = 0 AS special FROM pages""")
+@query("url_special", f"SELECT page_id, page_id % 3 = 0 AS special, contains({_HOST}, 'flashscore.') AND contains(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/mac/') AS own_special FROM pages")
 def url_special(spark, d):
     made = F.concat(F.lit("https://www.flashscore.com"), F.when(F.col("page_id") % 3 == 0, "/mac/").otherwise("/m/"), F.col("page_id").cast("string"))
-    return table(spark, d, "pages", "page_id").select("page_id", urls.is_special_site(made).alias("special"))
+    return table(spark, d, "pages", "page_id", "url").select("page_id", urls.is_special_site(made).alias("special"), urls.is_special_site(F.col("url")).alias("own_special"))
 
 
-_SHAPES = ["{}", "HTTPS://EX{}.com:443/a/../b", "http://ex.com/./x{}", "http://[::1]/{}", "ftp://ex.com/{}", "nonsense {}", "http://10.0.0.1/{}", "http://ex.com/p q{}"]
-_EXPECTED = ["u", "'https://ex' || p || '.com/b'", "'http://ex.com/x' || p", "'http://[::1]/' || p", "NULL", "NULL", "NULL", "'http://ex.com/p%20q' || p"]
-_ERRORS = {4: urls.ONLY_HTTP, 5: urls.INVALID_URL, 6: urls.PRIVATE_HOST}
+_SHAPES = ["HTTPS://EX{}.com:443/a/../b", "http://ex.com/./x{}", "http://[::1]/{}", "ftp://ex.com/{}", "nonsense {}", "http://10.0.0.1/{}", "http://ex.com/p q{}"]
+_EXPECTED = ["'https://ex' || p || '.com/b'", "'http://ex.com/x' || p", "'http://[::1]/' || p", "NULL", "NULL", "NULL", "'http://ex.com/p%20q' || p"]
+_ERRORS = {3: urls.ONLY_HTTP, 4: urls.INVALID_URL, 5: urls.PRIVATE_HOST}
 
 
-@query("url_canonical", "SELECT page_id, CASE page_id % 8 " + " ".join(f"WHEN {i} THEN {e}" for i, e in enumerate(_EXPECTED)) + " END AS canonical, CASE page_id % 8 " + " ".join(f"WHEN {i} THEN {duck.lit(e)}" for i, e in _ERRORS.items()) + " END AS error FROM (SELECT page_id, url AS u, (page_id % 40)::VARCHAR AS p FROM pages)")
+@query("url_canonical", "SELECT page_id, CASE page_id % 7 " + " ".join(f"WHEN {i} THEN {e}" for i, e in enumerate(_EXPECTED)) + " END AS canonical, CASE page_id % 7 " + " ".join(f"WHEN {i} THEN {duck.lit(e)}" for i, e in _ERRORS.items()) + " END AS error, url AS own_canonical FROM (SELECT page_id, url, page_id::VARCHAR AS p FROM pages)")
 def url_canonical(spark, d):
-    p = (F.col("page_id") % 40).cast("string")
-    shaped = F.when(F.col("page_id") % 8 == 0, F.col("url"))
-    for i, s in enumerate(_SHAPES[1:], 1):
-        shaped = shaped.when(F.col("page_id") % 8 == i, F.replace(F.lit(s), F.lit("{}"), p))
-    return table(spark, d, "pages", "page_id", "url").withColumn("p", urls.parse_url(shaped)).select("page_id", "p.canonical", "p.error")
+    """The URL of every page, which is canonical, and beside it one of each other shape."""
+    p, shaped = F.col("page_id").cast("string"), F.lit(None).cast("string")
+    for i, s in enumerate(_SHAPES):
+        shaped = F.when(F.col("page_id") % len(_SHAPES) == i, F.replace(F.lit(s), F.lit("{}"), p)).otherwise(shaped)
+    u = table(spark, d, "pages", "page_id", "url").withColumns({"p": urls.parse_url(shaped), "own": urls.parse_url(F.col("url"))})
+    return u.select("page_id", "p.canonical", "p.error", F.col("own.canonical").alias("own_canonical"))
 
 
 @query("url_distinct", "SELECT u AS canonical, min(page_id) AS page_id FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS u FROM pages) GROUP BY u")
@@ -192,15 +252,16 @@ def url_distinct(spark, d):
 
 
 @query("url_list_requests", f"""
-SELECT page_id, CASE WHEN page_id % 4 IN (0, 2) THEN [url, url || '#x'] END AS urls,
-  CASE page_id % 4 WHEN 1 THEN {duck.lit(urls.NOT_A_LIST)} WHEN 3 THEN {duck.lit(urls.INVALID_URL)} END AS error
+SELECT page_id, CASE WHEN page_id % 5 IN (0, 2) THEN [url, url || '#x'] END AS urls,
+  CASE page_id % 5 WHEN 1 THEN {duck.lit(urls.NOT_A_LIST)} WHEN 3 THEN {duck.lit(urls.INVALID_URL)} WHEN 4 THEN {duck.lit(urls.NOT_JSON)} END AS error
 FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages)""")
 def url_list_requests(spark, d):
     u = F.regexp_replace("url", "[?#].*$", "")
     body = (
-        F.when(F.col("page_id") % 4 == 0, F.format_string('{"urls": [" %s ", 5, "%s#x", "%s", null]}', u, u, u))
-        .when(F.col("page_id") % 4 == 1, F.lit('{"urls": "no"}'))
-        .when(F.col("page_id") % 4 == 2, F.format_string('{"urls": ["%s", "", "%s#x"]}', u, u))
+        F.when(F.col("page_id") % 5 == 0, F.format_string('{"urls": [" %s ", 5, "%s#x", "%s", null]}', u, u, u))
+        .when(F.col("page_id") % 5 == 1, F.lit('{"urls": "no"}'))
+        .when(F.col("page_id") % 5 == 4, F.format_string('{"urls": ["%s"', u))
+        .when(F.col("page_id") % 5 == 2, F.format_string('{"urls": ["%s", "", "%s#x"]}', u, u))
         .otherwise(F.format_string('{"urls": ["%s", "nonsense"]}', u))
     )
     requests = url_list.parse_request(table(spark, d, "pages", "page_id", "url").withColumn("body", body))
@@ -269,6 +330,18 @@ def job_view(spark, d):
     return jobs.job_view(event_items(spark, d))
 
 
+_ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
+
+
+@query("jobs", f"""SELECT job_id, {duck.status_of('completed', 'total', 'failed')} AS status, total, completed, successful, failed, created_at, updated_at
+FROM ({_ROLL}) JOIN (SELECT user_id AS job_id, {_ISO.format('min(ts)')} AS created_at, {_ISO.format('max(ts)')} AS updated_at FROM events GROUP BY user_id) USING (job_id)""")
+def job_rows(spark, d):
+    """A row a job, as a store of jobs has it: made with the items' first and changed with their last transition."""
+    at = jobs.iso(F.col("ts"))
+    items = event_items(spark, d).withColumns({"created_at": at, "updated_at": at})
+    return jobs.job_view(items).select("job_id", "status", "total", "completed", "successful", "failed", "created_at", "updated_at")
+
+
 @query("job_view_override", f"""SELECT job_id, CASE WHEN lost THEN 'failed' ELSE {duck.status_of('completed', 'total', 'failed')} END AS status, total,
 CASE WHEN lost THEN total ELSE completed END AS completed, CASE WHEN lost THEN 0 ELSE successful END AS successful, CASE WHEN lost THEN total ELSE failed END AS failed,
 CASE WHEN lost THEN 0 ELSE greatest(0, total - completed) END AS pending, CASE WHEN lost THEN 100 ELSE floor(completed / total * 100 + 0.5)::BIGINT END AS progress

@@ -27,7 +27,8 @@ ITEM_LOG = _struct(
 #: Append-only job rows. kind: created, enqueue_failed.
 JOB_LOG = _struct(id=_S, seq=_L, kind=_S, total=_L, error=_S, ts=_S)
 
-MESSAGE = _struct(type=_S, jobId=_S, itemId=_S, url=_S, attempts=_I)
+#: not_before: milliseconds since 1970 before which a retry is held back; null: due at once.
+MESSAGE = _struct(type=_S, jobId=_S, itemId=_S, url=_S, attempts=_I, not_before=_L)
 
 FETCHED = _struct(
     pos=_I, url=_S, http_status=_I, content_type=_S, final_url=_S, body=T.BinaryType(),

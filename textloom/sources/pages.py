@@ -1,14 +1,19 @@
 """Page connectors. Everything after the body is column expressions, so a connector only fetches.
 
 A connector maps (pos, url) to FETCHED or RENDERED rows and turns each failure into a row of
-its own: one bad URL never fails its neighbours.
+its own: one bad URL never fails its neighbours. Each task has a pool of `concurrency` threads, and
+there are as many tasks as the cluster has cores (or `partitions`), so more machines fetch more.
 """
 
 from __future__ import annotations
 
+import contextlib
 import time
+import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,6 +23,13 @@ from textloom.schemas import FETCHED, RENDERED
 
 FETCH_CONCURRENCY, RENDER_CONCURRENCY = 6, 3
 FETCH_TIMEOUT_S, RENDER_TIMEOUT_S = 15, 30
+#: Rows whose bodies a task holds at a time.
+ROWS_AT_ONCE = 60
+
+#: Request headers that decide what a server sends.
+ACCEPT = "text/html,application/xhtml+xml,application/xml;q=0.9,*/*;q=0.8"
+ACCEPT_LANGUAGE = "tr-TR,tr;q=0.9,en;q=0.8"
+USER_AGENT = "Mozilla/5.0 (compatible; textloom)"
 
 
 def stored_pages(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
@@ -44,54 +56,127 @@ def stored_pages(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
 
 
 def http_get(url: str) -> dict:
-    request = urllib.request.Request(url, headers={"Accept": "text/html,application/xhtml+xml", "User-Agent": "textloom"})
-    with urllib.request.urlopen(request, timeout=FETCH_TIMEOUT_S) as r:
+    """The response after redirects, whatever its status: 404 and 503 have a body and a type like any other."""
+    headers = {"Accept": ACCEPT, "Accept-Language": ACCEPT_LANGUAGE, "User-Agent": USER_AGENT}
+    try:
+        response = urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=FETCH_TIMEOUT_S)
+    except urllib.error.HTTPError as e:
+        response = e
+    with response as r:
         return {"http_status": r.status, "content_type": r.headers.get("Content-Type"), "final_url": r.url, "body": r.read()}
 
 
-def _mapped(df: DataFrame, schema, error: str, one: Callable[[str], dict], concurrency: int) -> DataFrame:
-    names = [f.name for f in schema.fields]
+Fetch = Callable[[str], dict]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for pos, url in zip(b["pos"], b["url"], strict=True):
-                began = time.monotonic()
-                try:
-                    row = one(url)
-                except Exception as e:  # noqa: BLE001  each failure is a row
-                    row = {error: str(e) or type(e).__name__}
-                rows.append(dict.fromkeys(names) | row | {"pos": pos, "url": url, "duration_ms": int((time.monotonic() - began) * 1000)})
-            yield pd.DataFrame(rows, columns=names)
 
-    return df.select("pos", "url").repartition(concurrency).mapInPandas(run, schema)
+def _mapped(df: DataFrame, schema, error: str, session: Callable[[], contextlib.AbstractContextManager[Fetch]], concurrency: int, partitions: int | None) -> DataFrame:
+    """session: entered once by each task that has rows, closed when it ends; what it gives opens one URL."""
+    names = [f.name for f in schema.fields]
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with contextlib.ExitStack() as stack:
+            one = pool = None
+            for b in batches:
+                if len(b) and pool is None:
+                    one, pool = stack.enter_context(session()), stack.enter_context(ThreadPoolExecutor(concurrency))
 
-def fetcher(one: Callable[[str], dict] = http_get, concurrency: int = FETCH_CONCURRENCY) -> Callable[[DataFrame], DataFrame]:
-    """Online fetch: `concurrency` tasks at a time."""
-    return lambda df: _mapped(df, FETCHED, "fetch_error", one, concurrency)
+                def row(pos: int, url: str) -> dict:
+                    began = time.monotonic()
+                    try:
+                        got = one(url)
+                    except Exception as e:  # noqa: BLE001  each failure is a row
+                        got = {error: str(e) or type(e).__name__}
+                    return dict.fromkeys(names) | got | {"pos": pos, "url": url, "duration_ms": int((time.monotonic() - began) * 1000)}
 
+                for at in range(0, len(b), ROWS_AT_ONCE):
+                    part = b.iloc[at : at + ROWS_AT_ONCE]
+                    yield pd.DataFrame(list(pool.map(row, part["pos"], part["url"])), columns=names)
 
-def renderer(one: Callable[[str], dict], concurrency: int = RENDER_CONCURRENCY) -> Callable[[DataFrame], DataFrame]:
-    """one: opens a page in a browser; empty partitions never call it."""
-    return lambda df: _mapped(df, RENDERED, "render_error", one, concurrency)
+    tasks = partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.select("pos", "url").repartition(tasks).mapInPandas(run, schema)
 
 
-def launched(launch: Callable[[], Callable[[str], dict]], concurrency: int = RENDER_CONCURRENCY) -> Callable[[DataFrame], DataFrame]:
-    """As renderer, with a browser launched at the first row of a task; a failed launch is every row's error."""
-    state: dict = {}
+def fetcher(one: Fetch = http_get, concurrency: int = FETCH_CONCURRENCY, partitions: int | None = None) -> Callable[[DataFrame], DataFrame]:
+    """Online fetch: `concurrency` URLs at a time in each task."""
+    return lambda df: _mapped(df, FETCHED, "fetch_error", lambda: contextlib.nullcontext(one), concurrency, partitions)
 
-    def one(url: str) -> dict:
-        if "open" not in state:
-            try:
-                state["open"] = launch()
-            except Exception as e:  # noqa: BLE001
-                state["open"], state["error"] = None, e
-        if state["open"] is None:
-            raise RuntimeError(str(state["error"]))
-        return state["open"](url)
 
-    return renderer(one, concurrency)
+def renderer(one: Fetch, concurrency: int = RENDER_CONCURRENCY, partitions: int | None = None) -> Callable[[DataFrame], DataFrame]:
+    """one: opens a page in a browser; empty partitions never call it."""
+    return lambda df: _mapped(df, RENDERED, "render_error", lambda: contextlib.nullcontext(one), concurrency, partitions)
+
+
+@dataclass(frozen=True)
+class PageSettings:
+    """What a page is opened with, and how long to wait for it. Times in seconds."""
+
+    user_agent: str = "Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_7) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/124.0.0.0 Safari/537.36"
+    headers: dict = field(default_factory=lambda: {"Accept-Language": ACCEPT_LANGUAGE})
+    width: int = 1440
+    height: int = 1200
+    timeout: float = RENDER_TIMEOUT_S
+    #: Special sites: until the text is longer than this and has no loading mark, then on after a pause.
+    special_text: int = 1000
+    special_wait: float = 15
+    special_pause: float = 5
+    #: Others: until the network has been idle so long.
+    idle: float = 1
+    idle_wait: float = 10
+    idle_pause: float = 1.5
+
+
+LOADING = "Loading..."
+
+
+def open_page(page, url: str, special: bool = False, settings: PageSettings = PageSettings(), pause: Callable[[float], None] = time.sleep) -> dict:
+    """A RENDERED row's fields from a browser's page, which is always closed.
+
+    page: configure(settings), goto(url, timeout) -> status or None, wait_until(test of the text, timeout),
+    wait_idle(idle, timeout), url(), title(), text(), close(). The waits raise when they time out,
+    which isn't an error: the page is read as it is after a pause.
+    """
+    try:
+        page.configure(settings)
+        status = page.goto(url, settings.timeout)
+        try:
+            if special:
+                page.wait_until(lambda text: LOADING not in text and len(text) > settings.special_text, settings.special_wait)
+            else:
+                page.wait_idle(settings.idle, settings.idle_wait)
+        except Exception:  # noqa: BLE001
+            pause(settings.special_pause if special else settings.idle_pause)
+        return {"http_status": status, "final_url": page.url(), "raw_title": page.title(), "raw_text": page.text()}
+    finally:
+        with contextlib.suppress(Exception):
+            page.close()
+
+
+def launched(launch: Callable[[], object], concurrency: int = RENDER_CONCURRENCY, partitions: int | None = None) -> Callable[[DataFrame], DataFrame]:
+    """As renderer, with one browser for each task that has rows, closed when the task ends.
+
+    launch: gives a callable that opens a URL, with a close() if there is something to close. A failed
+    launch is every row's error.
+    """
+
+    @contextlib.contextmanager
+    def session() -> Iterator[Fetch]:
+        try:
+            browser = launch()
+        except Exception as e:  # noqa: BLE001
+            reason = str(e) or type(e).__name__
+
+            def fail(url: str) -> dict:
+                raise RuntimeError(reason)
+
+            yield fail
+            return
+        try:
+            yield browser
+        finally:
+            with contextlib.suppress(Exception):
+                getattr(browser, "close", lambda: None)()
+
+    return lambda df: _mapped(df, RENDERED, "render_error", session, concurrency, partitions)
 
 
 def stored_renders(renders: DataFrame) -> Callable[[DataFrame], DataFrame]:
