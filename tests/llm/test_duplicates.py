@@ -21,13 +21,13 @@ def shingles(t):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def brute_components(rows):
+def brute_components(rows, percent=85):
     sets = {}
     for i, t in rows:
         sets.setdefault(i, set()).add(shingles(t))
     label = {i: i for i in sets}
     ids = sorted(sets)
-    links = [(a, b) for k, b in enumerate(ids) for a in ids[:k] if any(x and y and 100 * len(x & y) >= 85 * len(x | y) for x in sets[a] for y in sets[b])]
+    links = [(a, b) for k, b in enumerate(ids) for a in ids[:k] if any(x and y and 100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b])]
     moved = True
     while moved:
         moved = False
@@ -144,7 +144,7 @@ def test_pipeline_stages(spark, data):
         if name != "mixing":
             assert out.columns == docs.columns
         if name == "minhash_near_dedup":
-            label = brute_components([(r.doc_id, r.text) for r in docs.collect()])
+            label = brute_components([(r.doc_id, r.text) for r in docs.collect()], corpus_pipeline.NEAR_PERCENT)
             assert {r.doc_id for r in out.collect()} == set(label.values())
         docs = out.select(*docs.columns)
     total, taken = out.agg(F.sum("size")).first()[0], out.agg(F.sum("taken")).first()[0]

@@ -6,22 +6,24 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import decontamination, language_id, quality_classifier
+from textloom.llm import decontamination, language_id, quality_classifier, vectext
 from tests_llm_tools import words_of
 
 
-def test_gradient_is_the_slope():
+@pytest.mark.parametrize("masked", [False, True])
+def test_gradient_is_the_slope(masked):
     m = language_id.new_model(3, 1)
     r = np.random.default_rng(1)
     x, y = r.integers(0, 256, (12, 5)), np.array([0, 1, 2, 0, 1])
-    _, g = language_id.loss_and_gradient(m, x, y)
+    valid = np.arange(12)[:, None] < np.array([12, 7, 1, 0, 12]) if masked else None
+    _, g = language_id.loss_and_gradient(m, x, y, valid)
     for k, v in m.items():
         at = np.unravel_index(np.abs(g[k]).argmax(), v.shape)
         e = 1e-6
         v[at] += e
-        up = language_id.loss_and_gradient(m, x, y)[0]
+        up = language_id.loss_and_gradient(m, x, y, valid)[0]
         v[at] -= 2 * e
-        down = language_id.loss_and_gradient(m, x, y)[0]
+        down = language_id.loss_and_gradient(m, x, y, valid)[0]
         v[at] += e
         assert abs(g[k][at] - (up - down) / 2 / e) < 1e-6
 
@@ -51,6 +53,28 @@ def test_language_id(spark, odd, empty):
     assert language_id.identify(empty).count() == 0
 
 
+def test_language_of_short_texts_only(spark):
+    r = random.Random(14)
+    make = lambda letters, n: " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(n))
+    rows = [(i, make("abcde", 60), "aa") for i in range(150)] + [(1000 + i, make("vwxyz", 4), "zz") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {x.doc_id: x.lang_pred for x in language_id.identify(docs, steps=80).collect()}
+    assert np.mean([out[i] == lang for i, _, lang in rows]) > 0.98
+
+
+def test_sample_takes_from_all_of_a_text(spark):
+    tail = spark.createDataFrame([(2 * i, "a" * 50_000 + "b" * 50_000, lang) for i, lang in enumerate(["x", "y"] * 10)], "doc_id long, text string, lang string")
+    sample = language_id.learning_sample(tail, 400)
+    late = sum(b"b" in data for data, _ in sample)
+    assert 200 < len(sample) <= 800 and 0.35 < late / len(sample) < 0.65
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    docs = spark.range(60, numPartitions=1).select("id", F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    sizes = vectext.map_batches(docs, lambda f: f.assign(n=len(f))[["id", "n"]], "id long, n long").agg(F.max("n"), F.count("*")).first()
+    assert sizes[0] <= vectext.BYTES / (1 << 20) + 1 and sizes[1] == 60
+
+
 def test_quality_classifier(spark, odd, empty):
     r = random.Random(5)
     rows = [(1000 + i, " ".join(w + "***" * (i % 4 == 0) for w in words_of(r, 60)), int(i % 4 != 0)) for i in range(400)]

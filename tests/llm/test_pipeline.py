@@ -1,9 +1,11 @@
 """The pipeline's stages on planted cases, against brute force."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -97,6 +99,42 @@ def test_quality_by_row(spark, tmp_path):
     assert sorted(map(tuple, out.filter("source <> 'a'").collect()), key=repr) == sorted((x for x in rows if x[2] == "1"), key=repr)
 
 
+CLASH = ("n_removed", "_text", "_row", "_all", "_own_n_lines", "_plan", "weight", "component_id", "k", "keys", "h1", "est")
+
+
+@pytest.fixture(scope="module")
+def clashing(odd):
+    """Odd rows whose extra columns have names that the stages use themselves."""
+    return odd.withColumns({c: F.lit(c) for c in CLASH}).cache()
+
+
+def rows_of(df):
+    return Counter(repr(x) for x in df.collect())
+
+
+@pytest.mark.parametrize("name", [k for k, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_and_empty_tables(spark, data, clashing, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    assert stage(spark, clashing.limit(0), data).count() == 0
+    out = stage(spark, clashing, data)
+    got = out.collect()
+    more = ["size", "source_size", "target", "repeats", "taken"] if name == "mixing" else []
+    assert out.columns == clashing.columns + more
+    before = clashing.count()
+    assert len(got) <= before and all(tuple(x[c] for c in CLASH) == CLASH and x.score == "x" and x.id == 8 and x.n_lines == 7 for x in got)
+    if name == "mixing":
+        assert rows_of(out.select(*clashing.columns)) == rows_of(clashing)
+    elif name == "line_dedup":  # no line is on ten sites; what has no word in the first place stays
+        assert rows_of(out) == rows_of(clashing)
+    elif name == "benchmark_decontamination":
+        assert rows_of(out) == rows_of(clashing)
+    elif name == "minhash_near_dedup":
+        texts = [x.text for x in clashing.collect()]
+        assert len(got) == len(set(zip([x.doc_id for x in clashing.collect() if not shingles(x.text)], ["bare"] * 99))) + len({k for k, t in zip(groups(texts), texts, strict=True) if shingles(t)})
+    else:
+        assert rows_of(out) - rows_of(clashing) == Counter()
+
+
 def test_place_that_meets_the_rule_comes_first():
     r = np.random.default_rng(25)
     table = np.vstack([np.hstack([r.normal(0, 0.125, (decontamination.BUCKETS, 64)), np.ones((decontamination.BUCKETS, 1))]), np.zeros((1, 65))]).astype(np.float32)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import cut
-from textloom.llm.vectext import ROWS, map_batches, word_hashes
+from textloom.llm.vectext import bound_batches, map_batches, word_hashes
 
 BUCKETS = 1 << 13
 WINDOW, STRIDE, ITEM_STRIDE = 16, 8, 4
@@ -54,7 +54,7 @@ def buckets(words: np.ndarray) -> np.ndarray:
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """df by bucket over all documents, and their number: BUCKETS rows come to the driver."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
+    bound_batches(docs)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = np.zeros(BUCKETS, np.int64), 0

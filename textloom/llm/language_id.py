@@ -8,8 +8,9 @@ cross-entropy at every position).
 A text is read whole, in stretches of LENGTH bytes side by side, each preceded and followed by
 CONTEXT bytes of its neighbours, so that a step is one matrix product over many stretches and
 no position lacks context. Gates come from a table by byte (the input has 256 values) plus the
-recurrent product. Learning uses at most FIT_DOCS documents, in equal parts by language, and of
-each the stretch that a hash of its id picks; every document is then labelled in full.
+recurrent product. Learning uses about FIT_STRETCHES stretches, in equal parts by language, which a
+hash picks from all stretches of all learning documents, short texts and last stretches included
+(what they lack isn't counted); every document is then labelled in full.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from textloom.llm.vectext import map_batches
 
 HIDDEN, EMBEDDING = 8, 8
 LENGTH, CONTEXT = 96, 8
-#: Bounds of the learning sample, over all languages: documents, and bytes of each.
-FIT_DOCS, FIT_BYTES = 3000, 400
+#: Bound of the learning sample: stretches of LENGTH bytes over all languages.
+FIT_STRETCHES = 12_000
 STEPS, BATCH, SPAN, RATE = 420, 192, 48, 0.02
 SEED = 23
 ROWS_AT_ONCE = 2048
@@ -100,18 +101,20 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def loss_and_gradient(m: dict, bytes_: np.ndarray, labels: np.ndarray) -> tuple[float, dict]:
-    """Mean cross-entropy over all positions of (T, B) bytes with a label for each of B, and its gradient."""
+def loss_and_gradient(m: dict, bytes_: np.ndarray, labels: np.ndarray, valid: np.ndarray | None = None) -> tuple[float, dict]:
+    """Mean cross-entropy over all positions of (T, B) bytes, or those that valid marks, with a label for each of B, and its gradient."""
     t, b = bytes_.shape
     back = bytes_[::-1]
     fs, fk = _forward(m, LEFT, bytes_)
     bs, bk = _forward(m, RIGHT, back)
     both = np.concatenate([fs, bs[::-1]], axis=2)
     p = _softmax(both @ m["o"] + m["c"])
-    loss = -np.log(p[:, np.arange(b), labels] + 1e-12).mean()
+    weight = np.ones((t, b)) if valid is None else valid.astype(float)
+    weight /= max(1.0, weight.sum())
+    loss = (-np.log(p[:, np.arange(b), labels] + 1e-12) * weight).sum()
     dp = p.copy()
     dp[:, np.arange(b), labels] -= 1
-    dp /= t * b
+    dp *= weight[:, :, None]
     g = {k: np.zeros_like(v) for k, v in m.items()}
     g["o"] += np.tensordot(both, dp, ((0, 1), (0, 1)))
     g["c"] += dp.sum(axis=(0, 1))
@@ -121,15 +124,15 @@ def loss_and_gradient(m: dict, bytes_: np.ndarray, labels: np.ndarray) -> tuple[
     return float(loss), g
 
 
-def train(stretches: np.ndarray, labels: np.ndarray, classes: int, steps: int = STEPS, seed: int = SEED) -> dict[str, np.ndarray]:
-    """stretches: (N, T) bytes, of which each step takes SPAN from a random place. Adam with a rate that falls to a tenth."""
+def train(stretches: np.ndarray, valid: np.ndarray, labels: np.ndarray, classes: int, steps: int = STEPS, seed: int = SEED) -> dict[str, np.ndarray]:
+    """stretches: (N, T) bytes, of which each step takes SPAN from a random place; valid: which exist. Adam with a rate that falls to a tenth."""
     m = new_model(classes, seed)
     r = np.random.default_rng(seed)
     mean, square = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
     for s in range(1, steps + 1):
         pick = r.integers(0, len(stretches), min(BATCH, len(stretches)))
         at = r.integers(0, max(1, stretches.shape[1] - SPAN + 1))
-        _, g = loss_and_gradient(m, stretches[pick, at : at + SPAN].T, labels[pick])
+        _, g = loss_and_gradient(m, stretches[pick, at : at + SPAN].T, labels[pick], valid[pick, at : at + SPAN].T)
         rate = RATE * (1 - 0.9 * s / steps)
         for k in m:
             mean[k] = 0.9 * mean[k] + 0.1 * g[k]
@@ -227,49 +230,45 @@ def label(texts: list[str | None], reader: Reader) -> np.ndarray:
     return out
 
 
-def learning_sample(docs: DataFrame, fit_docs: int = FIT_DOCS) -> list[tuple[bytes, str]]:
-    """(bytes, lang) of at most fit_docs documents, languages in equal parts, of each FIT_BYTES from a hashed place."""
+def learning_sample(docs: DataFrame, fit_stretches: int = FIT_STRETCHES) -> list[tuple[bytes, str]]:
+    """(bytes, lang) of about fit_stretches stretches of whole texts, languages in equal parts."""
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").filter(fold(F.col("doc_id"), 3) != 1)
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = known.withColumn("n", F.ceil(F.octet_length("text") / LENGTH))
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not counts:
         return []
-    each = max(1, fit_docs // len(counts))
+    each = max(1, fit_stretches // len(counts))
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, min(1.0, each / n)).otherwise(share)
-    place = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000))
-    at = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.greatest(F.octet_length("text") - FIT_BYTES, F.lit(1))).cast("int") + 1
-    some = known.filter(place < share * 1_000_000).select("doc_id", F.substring(F.encode("text", "UTF-8"), at, F.lit(FIT_BYTES)).alias("b"), "lang")
-    return [(bytes(r["b"]), r["lang"]) for r in some.orderBy("doc_id", "b", "lang").limit(2 * fit_docs).collect()]
+    picked = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1), lambda i: F.pmod(F.xxhash64("doc_id", i, F.lit(SEED)), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    some = known.withColumn("share", share).select("doc_id", "lang", "text", F.explode(picked).alias("i"))
+    some = some.select("doc_id", "i", "lang", F.substring(F.encode("text", "UTF-8"), (F.col("i") * LENGTH + 1).cast("int"), F.lit(LENGTH)).alias("b"))
+    return [(bytes(r["b"]), r["lang"]) for r in some.orderBy("doc_id", "i", "b", "lang").limit(2 * fit_stretches).collect()]
 
 
-def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, steps: int = STEPS) -> tuple[list[str], dict | None]:
+def fit(docs: DataFrame, fit_stretches: int = FIT_STRETCHES, steps: int = STEPS) -> tuple[list[str], dict | None]:
     """The languages and the trained network; None if there are fewer than two languages."""
-    sample = learning_sample(docs, fit_docs)
+    sample = learning_sample(docs, fit_stretches)
     langs = sorted({lang for _, lang in sample})
     if len(langs) < 2:
         return langs, None
-    rows, labels = [], []
-    for data, lang in sample:
-        r, valid = stretches_of(data)
-        full = r[valid.all(axis=1)] if len(data) >= LENGTH else r[:0]
-        rows.append(full)
-        labels += [langs.index(lang)] * len(full)
-    stretches = np.concatenate(rows)
-    if not len(stretches):
-        rows = [stretches_of(data)[0] for data, _ in sample]
-        stretches, labels = np.concatenate(rows), [langs.index(lang) for (_, lang), r in zip(sample, rows, strict=True) for _ in r]
-    return langs, train(stretches, np.array(labels), len(langs), steps)
-
-
-def identify(docs: DataFrame, fit_docs: int = FIT_DOCS, steps: int = STEPS) -> DataFrame:
+    stretches = np.full((len(sample), LENGTH), PAD, np.uint8)
+    valid = np.zeros(stretches.shape, bool)
+    for i, (data, _) in enumerate(sample):
+        stretches[i, : len(data)] = np.frombuffer(data, np.uint8)
+        valid[i, : len(data)] = True
+    return langs, train(stretches, valid, np.array([langs.index(lang) for _, lang in sample]), len(langs), steps)
+
+
+def identify(docs: DataFrame, fit_stretches: int = FIT_STRETCHES, steps: int = STEPS) -> DataFrame:
     """doc_id, lang_pred and score (the mean probability of that language, 0 to 1) for every row of docs.
 
     docs: doc_id, text, lang. Null texts and texts without a letter are `und`, with score 0; with
     one learned language, or none, that one (or `und`) is every text's; ties go to the language
     that comes first; repeated rows are labelled alike; an empty table gives no rows.
     """
-    langs, model = fit(docs.select("doc_id", "text", "lang"), fit_docs, steps)
+    langs, model = fit(docs.select("doc_id", "text", "lang"), fit_stretches, steps)
     reader = Reader(model) if model else None
 
     def fn(frame: pd.DataFrame) -> pd.DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import cut
-from textloom.llm.vectext import PIECE, ROWS, map_batches, mix, powers
+from textloom.llm.vectext import PIECE, map_batches, mix, powers
 
 SIZE, REACH, GRAM = 400, 200, 16
 PAIRWISE = 200

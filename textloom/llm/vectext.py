@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 PIECE = 1 << 18
-ROWS = 400
+#: What a worker gets at a time, at most: rows, and bytes (one row of more comes alone).
+ROWS, BYTES = 400, 32 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Odd factors that place a word in a window.
@@ -112,9 +113,19 @@ def windows(words: np.ndarray, k: int = 5) -> np.ndarray:
     return mix(total)
 
 
+def bound_batches(df: DataFrame) -> None:
+    """Lowers the session's bounds of an Arrow batch to ROWS and BYTES; stricter ones stay. They hold when a plan runs, so they aren't put back."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BYTES)):
+        now = str(conf.get(key)).lower()
+        have = int(now.rstrip("b")) if now.rstrip("b").lstrip("-").isdigit() else most + 1
+        if not 0 < have <= most:
+            conf.set(key, most)
+
+
 def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInPandas of fn (one frame to one frame) over batches of ROWS rows, which bounds a worker's memory."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
+    """mapInPandas of fn (one frame to one frame) over batches of ROWS rows and BYTES bytes, which bounds a worker's memory."""
+    bound_batches(df)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
