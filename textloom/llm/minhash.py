@@ -9,7 +9,8 @@ table with probability (1 - (1 - 0.85 ** 3) ** 8) ** 2 = 0.999.
 1. Documents with one shingle set are a class, found by a 128-bit set hash; its least doc_id stands for it.
 2. Collections that no other class shares can't make a table key that another class has, so only
    shared ones are combined into keys.
-3. In each table every class is confirmed against the least of its bucket: a star, not all pairs.
+3. In each table every class meets the least of its bucket: a star, not all pairs. First it is
+   confirmed against the least of all these, then against those that this hasn't connected it to.
 4. Only buckets that still hold several components get the pairs across them, which makes the links
    whole: every pair that shares a bucket is confirmed, already connected, or ruled out because
    the items that the two sets share with any other set there are too few.
@@ -125,7 +126,15 @@ def components(docs: DataFrame, percent: int = PERCENT, collections: int = COLLE
     stars = cut(stars.filter(_ratio(percent, "n", "an")).select("a", F.col("id").alias("b")).distinct())
     wanted = rows.select(F.col("id").alias("doc_id")).distinct()
     sets = cut(map_batches(docs.join(wanted, "doc_id", "left_semi"), _sets, "id bigint, items array<bigint>"))
-    links = cut(confirm(stars, sets, percent))
+    # one head a class first: in a group of near copies that connects most, and what is connected needs no other link
+    least = cut(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    near = cut(confirm(least, sets, percent))
+    up = near.select(F.col("a").alias("b")).distinct().join(near.select("b", F.col("a").alias("top")), "b").select(F.col("b").alias("a"), "top")
+    label = cut(near.join(up, "a", "left").select(F.col("b").alias("id"), F.coalesce("top", "a").alias("top")))
+    open_ = stars.join(least, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        open_ = open_.join(label.select(F.col("id").alias(end), F.col("top").alias(f"{end}_in")), end, "left").withColumn(f"{end}_in", F.coalesce(f"{end}_in", end))
+    links = cut(near.unionByName(confirm(cut(open_.filter("a_in <> b_in").select("a", "b")), sets, percent)))
     first = cut(connected_components(links))
     labelled = rows.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
