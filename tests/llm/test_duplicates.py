@@ -59,6 +59,20 @@ def test_minhash(spark, odd, empty):
     assert minhash.components(empty).count() == 0
 
 
+def test_bitmaps_never_rule_out_what_sets_share(spark):
+    r = random.Random(4)
+    texts = [*near_group(r, 15, 6), *near_group(r, 15, 20), " ".join(words_of(r, 9000)), " ".join(words_of(r, 3)), "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    signed = vectext.map_batches(docs, minhash.signatures(8, 3, 1, 85), "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>, bits array<long>")
+    x, y = (signed.select(F.col("doc_id").alias(e), F.col("n_shingles").alias(f"{e}n"), F.col("bits").alias(f"{e}bits")) for e in "ab")
+    sets = [shingles(t) for t in texts]
+    got = [(p.a, p.b, p.m) for p in x.join(y, F.col("a") < F.col("b")).select("a", "b", minhash.possible("a", "b").alias("m")).collect()]
+    assert len(got) == len(texts) * (len(texts) - 1) // 2
+    assert all(m >= len(sets[a] & sets[b]) for a, b, m in got)
+    group = [(m, len(sets[a] & sets[b])) for a, b, m in got if 15 <= a < b < 30]
+    assert all(100 * m < 85 * (len(sets[20]) * 2 - m) for m, _ in group)
+
+
 def test_words_are_those_of_the_pattern():
     texts = [None, "", "a\x0bB\x0cc d\u0085e\x1cf", "Ünï CODE " * 3, "x" * (vectext.PIECE + 10) + " y", "ab " * 100_000]
     seen = {}

@@ -13,7 +13,8 @@ table with probability (1 - (1 - 0.85 ** 3) ** 8) ** 2 = 0.999.
    confirmed against the least of all these, then against those that this hasn't connected it to.
 4. Only buckets that still hold several components get the pairs across them, which makes the links
    whole: every pair that shares a bucket is confirmed, already connected, or ruled out because
-   the items that the two sets share with any other set there are too few.
+   the items that the two sets share with any other set there are too few, or because bitmaps of
+   the sets show that too many items of one aren't in the other.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ COLLECTIONS, HALF = 8, 3
 PERCENT = 85
 SEED = 11
 CHUNK = 4096
+#: 64-bit words of a set's bitmap. A bit that one set has and the other lacks is an item not in common, so the bound is never too low.
+BITMAP = 16
 
 
 def _family(collections: int, half: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,13 +44,19 @@ def _family(collections: int, half: int, seed: int) -> tuple[np.ndarray, np.ndar
 
 def signatures(collections: int, half: int, seed: int, percent: int):
     factors, masks = _family(collections, half, seed)
+    nothing = np.zeros(BITMAP, np.int64)
+
+    def bitmap(m: np.ndarray) -> np.ndarray:
+        bits = np.zeros(64 * BITMAP, np.uint8)
+        bits[mix(m + np.uint64(2)) % np.uint64(64 * BITMAP)] = 1
+        return np.packbits(bits).view(np.int64)
 
     def fn(frame: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for doc_id, words in zip(frame["doc_id"], word_hashes(list(frame["text"])), strict=True):
             s = np.unique(windows(words))
             if not len(s):
-                rows.append((doc_id, 0, 0, 0, []))
+                rows.append((doc_id, 0, 0, 0, [], nothing))
                 continue
             least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
             for at in range(0, len(s), CHUNK):
@@ -57,8 +66,8 @@ def signatures(collections: int, half: int, seed: int, percent: int):
             for j in range(half):
                 keys = mix(keys + groups[:, j])
             m = mix(s)
-            rows.append((doc_id, len(s), m.sum(dtype=np.uint64).astype(np.int64), np.bitwise_xor.reduce(mix(m + np.uint64(1))).astype(np.int64), keys.view(np.int64)))
-        return pd.DataFrame(rows, columns=["doc_id", "n_shingles", "s1", "s2", "keys"])
+            rows.append((doc_id, len(s), m.sum(dtype=np.uint64).astype(np.int64), np.bitwise_xor.reduce(mix(m + np.uint64(1))).astype(np.int64), keys.view(np.int64), bitmap(m)))
+        return pd.DataFrame(rows, columns=["doc_id", "n_shingles", "s1", "s2", "keys", "bits"])
 
     return fn
 
@@ -105,6 +114,12 @@ def first_table(collections: int):
     return (F.array_position(same, True) == F.col("i") + 1) & (F.array_position(right, True) == F.col("j") - collections + 1)
 
 
+def possible(x: str, y: str):
+    """How many items sets x and y can have in common: columns xn and xbits, yn and ybits."""
+    lacks = lambda a, b: sum(F.bit_count(F.col(f"{a}bits")[i].bitwiseAND(F.bitwise_not(F.col(f"{b}bits")[i]))) for i in range(BITMAP))
+    return F.least(F.col(f"{x}n") - lacks(x, y), F.col(f"{y}n") - lacks(y, x))
+
+
 def _ratio(percent: int, x: str, y: str):
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
@@ -117,9 +132,9 @@ def components(docs: DataFrame, percent: int = PERCENT, collections: int = COLLE
     its texts; an empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
-    signed = cut(map_batches(docs, signatures(collections, half, seed, percent), "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, keys array<bigint>"))
+    signed = cut(map_batches(docs, signatures(collections, half, seed, percent), "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, keys array<bigint>, bits array<bigint>"))
     full = signed.filter("n_shingles > 0")
-    classes = cut(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")))
+    classes = cut(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")))
     rows = cut(bucket_rows(classes, collections))
     heads = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("h"), F.count("*").alias("k")).filter("k > 1")
     stars = rows.join(heads.select("key", F.col("h.id").alias("a"), F.col("h.n").alias("an")), "key").filter(F.col("id") != F.col("a"))
@@ -140,11 +155,12 @@ def components(docs: DataFrame, percent: int = PERCENT, collections: int = COLLE
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     rest = cut(labelled.join(mixed, "key"))
     rest = cut(shared_counts(rest, sets).filter(100 * F.col("m") >= percent * F.col("n")))
-    rest = rest.join(classes.select("id", "keys"), "id")
-    x = rest.select("key", "i", "j", *[F.col(c).alias(f"a{c}") for c in ("id", "n", "m", "component", "keys")])
-    y = rest.select("key", *[F.col(c).alias(f"b{c}") for c in ("id", "n", "m", "component", "keys")])
+    rest = rest.join(classes.select("id", "keys", "bits"), "id")
+    x = rest.select("key", "i", "j", *[F.col(c).alias(f"a{c}") for c in ("id", "n", "m", "component", "keys", "bits")])
+    y = rest.select("key", *[F.col(c).alias(f"b{c}") for c in ("id", "n", "m", "component", "keys", "bits")])
     most = F.least("am", "bm")  # that two sets can have in common
-    close = 100 * most >= percent * (F.col("an") + F.col("bn") - most)
+    both = F.col("an") + F.col("bn")
+    close = (100 * most >= percent * (both - most)) & ((100 + percent) * possible("a", "b") >= percent * both)
     across = x.join(y, "key").filter((F.col("acomponent") != F.col("bcomponent")) & (F.col("aid") < F.col("bid")) & close & first_table(collections))
     across = across.select(F.col("aid").alias("a"), F.col("bid").alias("b"))
     across = across.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
