@@ -20,7 +20,7 @@ from tests_llm_tools import collect, words_of
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_against_duckdb(spark, data, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     want = con.sql(queries.SQL[name])
     names = sorted(want.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import decontamination, language_id, line_dedup, minhash, mixing, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter, warc
+from textloom.llm import decontamination, language_id, lexical_search, line_dedup, minhash, mixing, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter, warc
 
 Q = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,7 @@ Q = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_mixing": mixing.op9_mixing,
     "op10_minhash": minhash.op10_minhash,
+    "op11_lexical_search": lexical_search.op11_lexical_search,
     "op12_sharding": sharding.op12_sharding,
 }
 
@@ -23,5 +24,6 @@ SQL = {
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op8_url_filter": url_filter.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
+    "op11_lexical_search": lexical_search.OP11_SQL,
     "op12_sharding": sharding.OP12_SQL,
 }
