@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import decontamination, language_id, lexical_search, line_dedup, minhash, mixing, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter, warc
+from textloom.llm import decontamination, hard_negatives, language_id, lexical_search, line_dedup, minhash, mixing, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter, warc
 
 Q = {
     "op1_warc": warc.op1_warc,
@@ -17,6 +17,7 @@ Q = {
     "op10_minhash": minhash.op10_minhash,
     "op11_lexical_search": lexical_search.op11_lexical_search,
     "op12_sharding": sharding.op12_sharding,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 SQL = {
@@ -26,4 +27,5 @@ SQL = {
     "op9_mixing": mixing.OP9_SQL,
     "op11_lexical_search": lexical_search.OP11_SQL,
     "op12_sharding": sharding.OP12_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
