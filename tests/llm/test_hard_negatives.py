@@ -99,7 +99,7 @@ def test_tree_bounds_and_pruning(monkeypatch, alike, share):
     scored = []
     monkeypatch.setattr(hn.np, "rint", lambda x: scored.append(x.size) or np.round(x))
     at = np.arange(0, 4000, 100)
-    queries = pa.table({"q": at, "anchor_id": at, "label": np.ones(40, np.int32), "v": table["v"].take(pa.array(at)), "norm": norm[at], "low": np.full(40, hn.LEAST), "high": norm[at] // 2})
+    queries = pa.table({"q": at, "a": at, "anchor_id": at, "label": np.ones(40, np.int32), "v": table["v"].take(pa.array(at)), "norm": norm[at], "low": np.full(40, hn.LEAST), "high": norm[at] // 2})
     got = hn.search_block(space, table, queries, 10, False).to_pandas()
     assert sum(scored) < share * 40 * 4000  # the other buckets are out of the annulus, or farther than the kth row
     for q in at:

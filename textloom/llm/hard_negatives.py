@@ -6,10 +6,11 @@ scores is an annulus around the anchor.
 
 Rows are dealt to the regions of a vantage-point tree fitted on a bounded sample, and within a region to blocks
 of at most about BLOCK rows by a hash, copies of one row too. Each block gets a vantage-point tree of its own. A
-query visits the region that is nearest to it inside its annulus first, and then those regions that can
-still hold something nearer than the kth row found; within a block its buckets likewise, nearest first,
-until the next is farther than the kth row or outside the annulus. Bounds only leave out what can't count;
-scores are exact integers.
+query visits the region that is nearest to it inside its annulus first, and then, in two rounds, those
+regions that can still hold something nearer than the kth row found; within a block its buckets likewise,
+nearest first, until the next is farther than the kth row or outside the annulus. Bounds only leave out what
+can't count; scores are exact integers. (Where rows point in all directions of many dimensions,
+distances are alike and bounds leave out little: then the work is that of anchors times rows, in blocks.)
 
 Queries of a block are dealt in groups of about VISITS, each with a copy of the block, so neither a block
 that all queries visit nor a group grows with the table.
@@ -32,6 +33,8 @@ LOW, HIGH = 30, 90
 SCALE = 256
 #: Rows of the sample that the regions' tree is fitted on, and how many regions there are at most.
 SAMPLE, REGIONS = 4096, 64
+#: Which of a query's regions, nearest first, it visits in each round.
+ROUNDS = [(0, 1), (1, 9), (9, REGIONS)]
 #: Rows of a block and of a bucket of its tree; queries of a group.
 BLOCK, BUCKET, VISITS = 1024, 32, 2048
 #: Squared norms up to this are exact in a double, and so are all scores.
@@ -39,7 +42,7 @@ EXACT = 2**53
 LEAST, MOST = -(2**62), 2**62
 
 _ROW = "vec_id bigint, label int, v array<bigint>, norm bigint"
-_QUERY = "q bigint, anchor_id bigint, label int, v array<bigint>, norm bigint, low bigint, high bigint"
+_QUERY = "q bigint, a bigint, anchor_id bigint, label int, v array<bigint>, norm bigint, low bigint, high bigint"
 _FOUND = "q bigint, vec_id bigint, score bigint"
 
 
@@ -196,7 +199,7 @@ def search_block(space: Space, rows: pa.Table, queries: pa.Table, k: int, same:
     """The first k rows of the block for each query: of its label (same), or of others, its own row apart, and in its window.
 
     Each query takes the buckets of the block's tree nearest first, all queries in step, and leaves when the next one is
-    farther than its kth row.
+    farther than its kth row. The windows of one anchor share its products with a bucket.
     """
     points = space.points(rows["v"], rows["norm"])
     tree = Tree(points, _power(len(rows) / BUCKET, 1 << 20))
@@ -205,34 +208,38 @@ def search_block(space: Space, rows: pa.Table, queries: pa.Table, k: int, same:
     order = np.argsort(leaf, kind="stable")
     edge = np.searchsorted(leaf[order], np.arange(tree.leaves + 1))
     ids, known, label = rows["vec_id"].fill_null(0).to_numpy()[order], rows["vec_id"].is_valid().to_numpy()[order], rows["label"].to_numpy()[order]
-    data = points[order, :-1]
-    q, norm, low, high = (queries[c].to_numpy() for c in ("q", "norm", "low", "high"))
-    q_label, q_id = queries["label"].to_numpy(), queries["anchor_id"].to_numpy()
-    asked = space.anchors(queries["v"])
+    data = np.ascontiguousarray(points[order, :-1])
+    q, norm, low, high, q_label, q_id = (queries[c].to_numpy() for c in ("q", "norm", "low", "high", "label", "anchor_id"))
+    low = low.copy()  # rises to the kth score
+    _, first, anchor = np.unique(queries["a"].to_numpy(), return_index=True, return_inverse=True)
+    asked = space.anchors(queries["v"].take(pa.array(first)))
     near, far = space.annulus(norm, low, high)
     least, most = tree.bounds(asked, space.slack)
-    least = np.maximum(least, near[:, None])
+    least, most = np.maximum(least[anchor], near[:, None]), most[anchor]
     least[(most < near[:, None]) | (least > far[:, None])] = np.inf
     path = np.argsort(least, axis=1, kind="stable")
+    asked = np.ascontiguousarray(asked[:, :-1])
     best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q)  # scores and rows of each query, best first
-    limit = far.copy()
     active, step = np.arange(len(q)), 0
     while len(active) and step < tree.leaves:
         bucket = path[active, step]
-        going = least[active, bucket] <= limit[active]
+        going = least[active, bucket] <= far[active]
         active, bucket = active[going], bucket[going]
         for n in np.unique(bucket):
             own = active[bucket == n]
-            at = np.arange(edge[n], edge[n + 1])
-            score = np.rint(asked[own, :-1] @ data[at].T).astype(np.int64)
-            fits = (label[at][None] == q_label[own][:, None]) == same
-            fits &= ~(known[at][None] & (ids[at][None] == q_id[own][:, None])) & (score >= low[own][:, None]) & (score <= high[own][:, None])
+            at = slice(edge[n], edge[n + 1])
+            who, back = np.unique(anchor[own], return_inverse=True)
+            score = np.rint(asked[who] @ data[at].T).astype(np.int64)[back]
+            fits = (score >= low[own][:, None]) & (score <= high[own][:, None])
+            fits &= ((label[at][None] == q_label[own][:, None]) == same) & ~(known[at][None] & (ids[at][None] == q_id[own][:, None]))
             for i in np.flatnonzero(fits.any(1)):
-                s, r = np.concatenate([best[own[i]][0], score[i, fits[i]]]), np.concatenate([best[own[i]][1], at[fits[i]]])
-                first = np.lexsort((ids[r], ~known[r], -s))[:k]
-                best[own[i]] = (s[first], r[first])
-                if len(first) == k:
-                    limit[own[i]] = min(limit[own[i]], space.distance(s[first[-1:]], norm[own[i] : own[i] + 1])[0] + space.slack)
+                w = own[i]
+                s, r = np.concatenate([best[w][0], score[i, fits[i]]]), np.concatenate([best[w][1], edge[n] + np.flatnonzero(fits[i])])
+                top = np.lexsort((ids[r], ~known[r], -s))[:k]
+                best[w] = (s[top], r[top])
+                if len(top) == k:
+                    low[w] = s[top[-1]]
+                    far[w] = space.distance(low[w : w + 1], norm[w : w + 1])[0] + space.slack
         step += 1
     score, row = np.concatenate([b[0] for b in best]), np.concatenate([b[1] for b in best])
     return pa.table({"q": pa.array(np.repeat(q, [len(b[0]) for b in best]), pa.int64()), "vec_id": pa.array(ids[row], pa.int64(), mask=~known[row]), "score": pa.array(score, pa.int64())})
@@ -244,7 +251,7 @@ def _visit(blocks: DataFrame, visits: DataFrame, space: Space, k: int, same: boo
     parts = sizes.join(small(cut(visits.groupBy("region").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("groups")))), "region")
     parts = small(cut(parts))
     copies = blocks.join(parts, ["region", "part"]).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    asked = visits.join(parts, "region").withColumn("group", F.pmod(F.xxhash64("q"), F.col("groups")).cast("int"))
+    asked = visits.join(parts, "region").withColumn("group", F.pmod(F.xxhash64("a"), F.col("groups")).cast("int"))
     asked = asked.select(*[F.col(c).alias(c) for c in asked.columns if c != "groups"])  # columns of its own beside those of copies
     key = ["region", "part", "group"]
 
@@ -257,34 +264,35 @@ def _visit(blocks: DataFrame, visits: DataFrame, space: Space, k: int, same: boo
 
 
 def nearest(blocks: DataFrame, queries: DataFrame, space: Space, k: int, same: bool) -> DataFrame:
-    """q, vec_id, score and rank of the k best rows for each query (_QUERY columns): in its window, of its label or of others, without its own id."""
+    """q, vec_id, score and rank of the k best rows for each query (_QUERY columns): in its window, of its label or of others, without its own id.
 
-    def regions(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[pa.RecordBatch]:
+    Regions are visited in rounds, nearest first; each round's kth score bounds the regions and the scores of the next.
+    """
+
+    def regions(batches: Iterator[pa.RecordBatch], start: int, end: int) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near, far = space.annulus(b["norm"].to_numpy(), b["low"].to_numpy(), b["high"].to_numpy())
+            norm, low = b["norm"].to_numpy(), b["low"].to_numpy()
+            near, far = space.annulus(norm, low, b["high"].to_numpy())
+            kth = b["kth"].fill_null(LEAST).to_numpy()
             least, most = space.regions.bounds(space.anchors(b["v"]), space.slack)
             least = np.maximum(least, near[:, None])
             least[(most < near[:, None]) | (least > far[:, None])] = np.inf
-            home, row = least.argmin(1), np.arange(len(b))
-            if first:
-                chosen = np.zeros(least.shape, bool)
-                chosen[row, home] = least[row, home] < np.inf
-            else:
-                kth = b["kth"].fill_null(LEAST).to_numpy()
-                limit = np.where(kth > LEAST, space.distance(kth, b["norm"].to_numpy()) + space.slack, far)
-                chosen = (least <= limit[:, None]) & (least < np.inf)
-                chosen[row, home] = False
-            q, region = np.nonzero(chosen)
-            out = b.select([c for c in b.schema.names if c != "kth"]).take(pa.array(q))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(region.astype(np.int32))], names=[*out.schema.names, "region"])
-
-    def visits(of: DataFrame, first: bool) -> DataFrame:
-        return cut(of.mapInArrow(lambda batches: regions(batches, first), _QUERY + ", region int"))
-
-    found = cut(_best(_visit(blocks, visits(queries, True), space, k, same), k))
-    kth = found.filter(F.col("rank") == k).select("q", F.col("score").alias("kth"))
-    rest = visits(queries.join(kth, "q", "left"), False)
-    return _best(found.drop("rank").unionByName(_visit(blocks, rest, space, k, same)), k)
+            place = np.argsort(np.argsort(least, axis=1, kind="stable"), axis=1, kind="stable")
+            limit = np.minimum(far, space.distance(kth, norm) + space.slack)
+            q, region = np.nonzero((place >= start) & (place < end) & (least <= limit[:, None]))
+            out = b.select(names).take(pa.array(q))
+            out = out.set_column(names.index("low"), "low", pa.array(np.maximum(low, kth)[q]))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(region.astype(np.int32))], names=[*names, "region"])
+
+    names = [x.split()[0] for x in _QUERY.split(", ")]
+    found, kth = None, queries.select("q", F.lit(None).cast("bigint").alias("kth")).limit(0)
+    for start, end in ROUNDS:
+        asked = queries.select(*names).join(kth, "q", "left").select(*names, "kth")
+        visits = cut(asked.mapInArrow(lambda batches, s=start, e=end: regions(batches, s, e), _QUERY + ", region int"))
+        more = _visit(blocks, visits, space, k, same)
+        found = cut(_best(more if found is None else found.drop("rank").unionByName(more), k))
+        kth = found.filter(F.col("rank") == k).select("q", F.col("score").alias("kth"))
+    return found
 
 
 def mine(rows: DataFrame, anchors: Column, positives: int = POSITIVES, negatives: int = NEGATIVES, low: int = LOW, high: int = HIGH) -> DataFrame:
@@ -302,15 +310,15 @@ def mine(rows: DataFrame, anchors: Column, positives: int = POSITIVES, negatives
         return rows.sparkSession.createDataFrame([], "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint")
     blocks = _regions_of(rows, space)
     asked = cut(rows.filter(anchors).distinct().withColumn("q", F.monotonically_increasing_id()))
-    queries = asked.select("q", F.col("vec_id").alias("anchor_id"), "label", "v", "norm", F.lit(LEAST).alias("low"), F.lit(MOST).alias("high"))
-    best = cut(nearest(blocks, queries, space, positives, True))
+    queries = asked.select("q", F.col("q").alias("a"), F.col("vec_id").alias("anchor_id"), "label", "v", "norm", F.lit(LEAST).alias("low"), F.lit(MOST).alias("high"))
+    best = nearest(blocks, queries, space, positives, True)
     pairs = best.select(F.col("q").alias("a"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"), F.col("rank").alias("nth"))
     # the window in whole scores; empty if the positive's score is negative
     p = F.col("positive_score")
     window = {"low": F.ceil(low * p / F.lit(100).cast("decimal(20,0)")).cast("bigint"), "high": F.floor(high * p / F.lit(100).cast("decimal(20,0)")).cast("bigint")}
     pairs = cut(pairs.withColumns(window).withColumn("q", F.monotonically_increasing_id()))
     windows = pairs.filter("low <= high").join(small(asked.select(F.col("q").alias("a"), F.col("vec_id").alias("anchor_id"), "label", "v", "norm")), "a")
-    found = nearest(blocks, cut(windows.select("q", "anchor_id", "label", "v", "norm", "low", "high")), space, negatives, False)
+    found = nearest(blocks, cut(windows.select("q", "a", "anchor_id", "label", "v", "norm", "low", "high")), space, negatives, False)
     named = pairs.join(small(asked.select(F.col("q").alias("a"), F.col("vec_id").alias("anchor_id"))), "a")
     out = found.select("q", F.col("rank"), F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score")).join(small(named), "q")
     return out.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
