@@ -60,6 +60,16 @@ def refused(checked: DataFrame) -> DataFrame:
     return checked.select(*_row(pos=F.col("pos"), requestedUrl=F.col("url"), success=F.lit(False), error=F.col("error")))
 
 
+def admit(requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """requests (pos, url) as RESULT rows of those refused, requests to fetch, and (pos, url, reason) of special sites."""
+    parsed = requests.select("pos", "url", urls.parse_url(F.col("url")).alias("p"))
+    bad = refused(parsed.filter("p.error IS NOT NULL").select("pos", "url", "p.error"))
+    good = parsed.filter("p.error IS NULL").select("pos", F.col("p.canonical").alias("url"))
+    special = urls.is_special_site(F.col("url"))
+    skipped = good.filter(special).select("pos", "url", F.lit(classify.REASON_SPECIAL).alias("reason"))
+    return bad, good.filter(~special), skipped
+
+
 def scrape(
     requests: DataFrame, fetch: Callable[[DataFrame], DataFrame], render: Callable[[DataFrame], DataFrame], ordered: bool = False
 ) -> DataFrame:
@@ -72,12 +82,8 @@ def scrape(
     both branches read them, and a filter on reason pushed below the text columns would repeat
     their long chains.
     """
-    parsed = requests.select("pos", "url", urls.parse_url(F.col("url")).alias("p"))
-    bad = refused(parsed.filter("p.error IS NOT NULL").select("pos", "url", "p.error"))
-    requests = parsed.filter("p.error IS NULL").select("pos", F.col("p.canonical").alias("url"))
-    special = urls.is_special_site(F.col("url"))
-    skipped = requests.filter(special).select("pos", "url", F.lit(classify.REASON_SPECIAL).alias("reason"))
-    judged = judge_fetched(fetch(requests.filter(~special))).drop("body", "_html").persist()
+    bad, wanted, skipped = admit(requests)
+    judged = judge_fetched(fetch(wanted)).drop("body", "_html").persist()
     waiting = judged.filter("reason IS NOT NULL").select("pos", "url", "reason").unionByName(skipped)
     done = render_results(render(waiting.select("pos", "url")), waiting)
     out = fetch_results(judged).unionByName(done).unionByName(bad)

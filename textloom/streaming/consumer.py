@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from textloom.functions.text import retry_delay_seconds
 from textloom.operators import jobs
 from textloom.schemas import ITEM_LOG, JOB_LOG, MESSAGE
+from textloom.streaming.store import read_log
 
 MAX_FILES, WAIT = 5, "2 seconds"
 PHASES = {"created": 0, "processing": 1, "result": 2, "retry": 2, "dead": 2}
@@ -35,10 +36,6 @@ def write_log(rows: DataFrame, path: str, batch_id: int) -> None:
     _transitions(rows, batch_id).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ITEM_LOG).option("recursiveFileLookup", "true").parquet(path)
-
-
 def job_log(log: str) -> str:
     """The folder of the jobs' own log beside that of their items."""
     return log.rstrip("/") + "_jobs"
@@ -109,7 +106,7 @@ def process_batch(batch: DataFrame, batch_id: int, log: str, queue: str, dead: s
     batch.filter(~due).write.mode("overwrite").json(f"{queue}/held-{batch_id}")
     batch = batch.filter(due)
     asked = batch.select(F.col("itemId").alias("id")).distinct()
-    earlier = read_log(spark, log).filter(F.col("seq") < (batch_id + 1) * 10).join(asked, "id", "left_semi")
+    earlier = read_log(spark, log, asked).filter(F.col("seq") < (batch_id + 1) * 10)
     accepted = accept(batch, jobs.latest_items(earlier)).persist()
     started = accepted.select("id", "job_id", "url", *jobs.transition("processing", "processing", ts=jobs.iso(F.current_timestamp())))
     ended = outcomes(accepted, work(accepted)).persist()
