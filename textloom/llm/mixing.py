@@ -7,7 +7,7 @@ documents in seeded order, the last of them in part, so that taken words meet th
 to the word.
 
 Documents come in the order of a key, a hash of id and text, so rows that share an id, or have none,
-are apart; rows with the same id and text have one key and share alike what it takes. Nothing is
+are apart; rows with the same id and text have one key and share what it takes, to a word alike. Nothing is
 ordered globally: sizes are summed over (source, first digits of the key), the bucket in which
 the rest runs out is found from those sums and summed by more digits, until it holds few rows
 or one key. So a source, or a group of copies, with a third of all rows is summed map-side
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import cut, fresh, n_words, small, text_or_empty
+from textloom.llm.sharding import place
 
 MAX_EPOCHS = 3.0
 SEED = 17
@@ -109,19 +110,28 @@ def mix(docs: DataFrame, max_epochs: float = MAX_EPOCHS, seed: int = SEED, weigh
 
     Null or empty text has size 0 and takes 0; a null source is a source of its own; an empty
     table gives no rows. Rows that share an id, or have none, count one by one; rows with the same
-    id and text are taken alike, so that they miss a target by half a word each at most. Columns
+    id and text are taken alike, but for a word more of some where a rest must be shared, so the words of a
+    source meet its target to the word. Columns
     of docs with the names of the results are replaced, all others stay. The text isn't shuffled: the
     plan, a row a source, joins the scan (broadcast if it is small).
     """
     mine = ["size", "source_size", "target", "repeats", "taken"]
     kept = docs.drop(*mine)
-    name = fresh(kept, "_plan")
+    name, nth = fresh(kept, "_plan"), fresh(kept, "_nth")
     p = plan(docs.select("doc_id", "source", "text"), weights, max_epochs, seed, budget)
     j = kept.join(small(p.select(F.struct(*p.columns).alias(name))), F.col("source").eqNullSafe(F.col(name)["source"]))
     of = {c: F.col(name)[c] for c in p.columns}
     key, size = order_key(F.col("doc_id"), F.col("text"), seed), F.col("size")
-    part = F.least(size, F.floor(of["cut_words"] / of["copies"] + 0.5))
+    # of the copies that share what is left, the first take a word more, if it can't be shared alike
+    each, over = F.floor(of["cut_words"] / of["copies"]), F.pmod(of["cut_words"], of["copies"])
+    part = F.least(size, each + F.when(F.col(nth) < over, 1).otherwise(0))
     extra = F.when(of["cut_key"].isNull() | (key > of["cut_key"]), 0).when(key < of["cut_key"], size).otherwise(part)
+    if p.filter("pmod(cut_words, copies) > 0").isEmpty():
+        j = j.withColumn(nth, F.lit(0))
+    else:  # only rows of the keys that share a rest are numbered, and they by counted ranges, as they may be many
+        last, group = F.coalesce(key == of["cut_key"], F.lit(False)), fresh(j, "_group")
+        shared = j.filter(last).withColumn(group, F.concat(F.coalesce(F.concat(F.lit("="), of["source"]), F.lit("?")), F.lit(" "), key))
+        j = j.filter(~last).withColumn(nth, F.lit(0).cast("bigint")).unionByName(place(shared, group, [], nth).drop(group))
     out = j.withColumn("size", n_words(text_or_empty())).withColumns({"source_size": of["source_size"], "target": of["target"], "repeats": of["whole"]})
     return out.withColumn("taken", (F.col("repeats") * size + extra).cast("bigint")).select(*kept.columns, *mine)
 
@@ -146,6 +156,6 @@ r AS (SELECT *, floor(target + 0.5)::BIGINT - whole * source_size AS rest FROM q
 g AS (SELECT source, k, count(*) AS copies, sum(size) AS words FROM d GROUP BY source, k),
 o AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM g)
 SELECT doc_id, size, source_size, target, (whole * size + CASE WHEN rest >= prior + words THEN size WHEN rest <= prior THEN 0
-  ELSE least(size, floor((rest - prior) / copies + 0.5)) END)::BIGINT AS taken
+  ELSE least(size, (rest - prior) // copies + CASE WHEN row_number() OVER (PARTITION BY d.source, d.k) <= (rest - prior) % copies THEN 1 ELSE 0 END) END)::BIGINT AS taken
 FROM d JOIN o ON d.k = o.k AND d.source IS NOT DISTINCT FROM o.source JOIN r ON d.source IS NOT DISTINCT FROM r.source
 """
