@@ -265,3 +265,17 @@ def test_warc_round_trip(spark):
     assert first["conversion"] == "T & t one l m" and first["metadata"].startswith("title: T & t\r\n") and first["metadata"].count("outlink: /x\r\n") == 1
     assert re.fullmatch(r"<urn:uuid:[0-9a-f]{8}-[0-9a-f]{4}-5[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}>", parsed[0][0]["WARC-Record-ID"])
     assert warc.derive(source.limit(0)).count() == 0
+
+
+def test_copies_share_a_rest_to_the_word(spark):
+    """Rows with one id and text, a third of all or the whole source: the words taken meet the target."""
+    rows = [(1, "x", "a")] * 1000 + [(i, "one two three", "b") for i in range(2, 300)] + [(None, "w " * 7, "c")] * 333 + [(None, "w " * 7, None)] * 10
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_nth", F.lit("mine"))
+    for budget in (None, 1900.0, 4001.0):
+        out = mixing.mix(docs, budget=budget)
+        assert out.columns[:4] == docs.columns and {r._nth for r in out.collect()} == {"mine"} and out.count() == len(rows)
+        for r in out.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.min("taken").alias("low"), F.max("taken").alias("high"), F.max("size").alias("size")).collect():
+            assert abs(r.taken - r.target) <= 0.5 + 1e-6 and r.high <= 3 * r.size
+            if r.source != "b":
+                assert r.high - r.low <= 1
+        assert Counter(out.select("doc_id", "source", "taken").collect()) == Counter(mixing.mix(docs.repartition(3), budget=budget).select("doc_id", "source", "taken").collect())

@@ -140,7 +140,7 @@ def components(docs: DataFrame, percent: int = PERCENT, collections: int = COLLE
     stars = rows.join(heads.select("key", F.col("h.id").alias("a"), F.col("h.n").alias("an")), "key").filter(F.col("id") != F.col("a"))
     stars = cut(stars.filter(_ratio(percent, "n", "an")).select("a", F.col("id").alias("b")).distinct())
     wanted = rows.select(F.col("id").alias("doc_id")).distinct()
-    sets = cut(map_batches(docs.join(wanted, "doc_id", "left_semi"), _sets, "id bigint, items array<bigint>"))
+    sets = cut(map_batches(docs.join(wanted, "doc_id", "left_semi"), _sets, "id bigint, items array<bigint>", ("doc_id", "id")))
     # one head a class first: in a group of near copies that connects most, and what is connected needs no other link
     least = cut(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     near = cut(confirm(least, sets, percent))

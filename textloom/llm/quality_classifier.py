@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import cut
-from textloom.llm.vectext import map_batches, windows, word_hashes
+from textloom.llm.vectext import exact, map_batches, windows, word_hashes
 
 FEATURES = 160
 WIDTH = 4.0  # of the kernel, in standard deviations
@@ -153,7 +153,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_
     """doc_id, score and predicted for every row of docs (doc_id bigint, text); labels: doc_id, y (0 or 1).
 
     Null and empty texts are scored, as texts with no words; without labels of both kinds every
-    score is 0.5; repeated rows score alike; an empty table gives no rows. The text is the only
+    score is 0.5; repeated rows score alike; a null id is scored and carried as it is; an empty table gives no rows. The text is the only
     input of a score.
     """
     stats = cut(map_batches(docs.select("doc_id", "text"), _stats_of, "doc_id bigint, x array<double>"))
@@ -162,7 +162,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_
     if model is None:
         scored = stats.select("doc_id", F.lit(0.5).alias("score"))
     else:
-        scored = stats.mapInPandas(_scorer(model), "doc_id bigint, score double")
+        scored = exact(stats, "doc_id bigint, score double", lambda rows, kinds: rows.mapInPandas(_scorer(model), kinds))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

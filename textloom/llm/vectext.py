@@ -8,11 +8,13 @@ pieces of about PIECE bytes cut at white space, so memory doesn't grow with a te
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 PIECE = 1 << 18
 #: What a worker gets at a time, at most: rows, and bytes (one row of more comes alone).
@@ -123,12 +125,22 @@ def bound_batches(df: DataFrame) -> None:
             conf.set(key, most)
 
 
-def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInPandas of fn (one frame to one frame) over batches of ROWS rows and BYTES bytes, which bounds a worker's memory."""
+def exact(df: DataFrame, schema: str, apply, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """apply(df, schema), a map through pandas, with the ids (bigint) as text on the way: pandas would round them beside a null."""
+    texts = df.withColumns({c: F.col(c).cast("string") for c in ids if c in df.columns})
+    out = apply(texts, re.sub(rf"\b({'|'.join(ids)}) bigint", r"\1 string", schema))
+    return out.withColumns({c: F.col(c).cast("bigint") for c in ids if c in out.columns})
+
+
+def map_batches(df: DataFrame, fn, schema: str, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """mapInPandas of fn (one frame to one frame) over batches of ROWS rows and BYTES bytes, which bounds a worker's memory.
+
+    ids: bigint columns, of df or the result, that fn gets and gives as text or None, so that they stay exact beside nulls.
+    """
     bound_batches(df)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield fn(frame)
 
-    return df.mapInPandas(run, schema)
+    return exact(df, schema, lambda rows, kinds: rows.mapInPandas(run, kinds), ids)
