@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from textloom.functions import classify, html, routes, text, urls
 from textloom.operators import jobs, scrape, url_list
 from textloom.plans import duck
-from textloom.sources.tables import table
+from textloom.schemas import ITEM_LOG
+from textloom.sources.tables import scratch, table
 
 #: Appended to a page by page_id % 8.
 VARIANTS = [
@@ -418,3 +419,50 @@ def job_create(spark, d):
     lists = p.groupBy("j").agg(F.array_sort(F.collect_list(F.struct("page_id", "url"))).alias("l")).select("j", F.transform("l", lambda x: x["url"]).alias("urls"))
     made = jobs.create_job(lists, F.concat(F.lit("job_"), F.col("j").cast("string")), F.substring(F.sha2("url", 256), 1, 8), F.lit("now"))
     return made.drop("updated_at")
+
+
+_TURN_STATUS = "CASE WHEN role = 'user' THEN 'processing' WHEN length(text) % 3 = 0 THEN 'failed' WHEN length(text) % 3 = 1 THEN 'completed' ELSE 'queued' END"
+
+
+@query("job_counters", f"""
+SELECT conv_id % 20 AS job_id, count(*) AS total, count_if(s IN ('completed', 'failed'))::BIGINT AS completed, count_if(s = 'completed')::BIGINT AS successful, count_if(s = 'failed')::BIGINT AS failed
+FROM (SELECT conv_id, arg_max({_TURN_STATUS}, turn) AS s FROM conversations GROUP BY conv_id) GROUP BY conv_id % 20""")
+def job_counters(spark, d):
+    """Counters from the changes of item states: a conversation is an item, its turns are transitions, read as a stream."""
+    from textloom.streaming import states
+
+    at = scratch(spark, "counters")
+    turns = table(spark, d, "conversations", "conv_id", "turn", "role", "text")
+    log = spark.readStream.schema(turns.schema).parquet(f"{d}/conversations.parquet*")
+    log = log.select(F.col("conv_id").cast("string").alias("id"), (F.col("conv_id") % 20).cast("string").alias("job_id"), F.col("turn").alias("seq"), F.expr(_TURN_STATUS).alias("status"))
+    states.keep_changes(log, f"{at}/changes", f"{at}/c1").awaitTermination()
+    changes = spark.readStream.schema(states.CHANGE).option("recursiveFileLookup", "true").parquet(f"{at}/changes")
+    states.keep_counters(changes, lambda rows, n: rows.write.mode("overwrite").parquet(f"{at}/totals/batch_id={n}"), f"{at}/c2").awaitTermination()
+    last = spark.read.parquet(f"{at}/totals").groupBy("job_id").agg(F.max_by(F.struct(*states.COUNTERS), "batch_id").alias("t"))
+    return last.select(F.col("job_id").cast("bigint").alias("job_id"), "t.*")
+
+
+@query("log_snapshot", """
+WITH l AS (SELECT conv_id, turn, text, length(text) AS n, CASE WHEN role = 'user' THEN 'retry' WHEN length(text) % 3 = 0 THEN 'dead' ELSE 'result' END AS kind FROM conversations)
+SELECT conv_id::VARCHAR AS id, arg_max(CASE kind WHEN 'result' THEN 'completed' WHEN 'dead' THEN 'failed' ELSE 'queued' END, turn) AS status,
+arg_max(CASE WHEN kind <> 'result' THEN {v: 'e' || turn} ELSE {v: NULL} END, turn).v AS error,
+nullif(arg_max(CASE WHEN kind = 'result' THEN text END, CASE WHEN kind = 'result' THEN turn END), '') AS text,
+coalesce(arg_max(n, CASE WHEN kind = 'result' THEN turn END), 0)::BIGINT AS text_length FROM l GROUP BY conv_id""")
+def log_snapshot(spark, d):
+    """Item states from a snapshot, folded in twice, and the tail since: turns as transitions, two to a batch."""
+    from textloom.streaming import store
+
+    log = scratch(spark, "log")
+    kind = F.when(F.col("role") == "user", "retry").when(F.length("text") % 3 == 0, "dead").otherwise("result")
+    status = F.when(F.col("kind") == "result", "completed").when(F.col("kind") == "dead", "failed").otherwise("queued")
+    result = lambda c: F.when(F.col("kind") == "result", c)
+    rows = table(spark, d, "conversations", "conv_id", "turn", "role", "text").withColumn("kind", kind).withColumns({
+        "id": F.col("conv_id").cast("string"), "job_id": F.lit("j"), "url": F.lit("u"), "seq": F.col("turn"), "status": status, "method": result(F.lit("fetch")), "title": result(F.lit("t")),
+        "text": result(F.col("text")), "text_length": result(F.length("text")), "final_url": result(F.lit("u")), "error": F.when(F.col("kind") != "result", F.concat(F.lit("e"), "turn")),
+        "duration_ms": result(F.lit(1)), "ts": F.lit("now"),
+    })
+    rows = rows.select(F.least(F.floor(F.col("turn") / 2), F.lit(4)).alias("batch_id"), *[F.col(f.name).cast(f.dataType) for f in ITEM_LOG.fields])
+    rows.repartition("batch_id", F.pmod(F.xxhash64("id"), F.lit(8))).write.partitionBy("batch_id").parquet(log)
+    for through in (0, 1):
+        store.compact(spark, log, through)
+    return jobs.latest_items(store.read_log(spark, log)).select("id", "status", "error", "text", "text_length")

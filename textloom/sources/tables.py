@@ -1,10 +1,23 @@
-"""Parquet tables of a data folder, with only the columns asked for."""
+"""Parquet tables of a data folder, with only the columns asked for, and folders for what a job keeps on the way."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir; on one machine, where that is unset, a temporary one."""
+    base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not base:
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="textloom-")
+    return f"{base.rstrip('/')}/textloom-{name}-{uuid.uuid4().hex}"

@@ -1,15 +1,15 @@
 """The items' log as a store: a snapshot by bucket of item id, and the tail that came since.
 
-    <log>/_manifest/<version>.json      through: the last batch folded in; buckets: bucket to version
+    <log>/_manifest/<version>.json      through: the last batch folded in; buckets: bucket to version; folded: files of submissions
     <log>/_snapshot/v=<version>/bucket=<b>/    log rows, at most three an item
     <log>/batch_id=<n>/..., created/..., enqueue_failed/...    the tail
     <log>/_work/batch_id=<n>/...        what the worker keeps between its phases
 
 The state of an item is a merge of its log rows (jobs.latest_items) in which only its first row, its last and
 its last result count. Compaction keeps these and rewrites only the buckets that the tail touches; a
-manifest, a new file each time, makes it take effect at once. Rows that are in both snapshot and tail change
-no state, so a crash between the manifest and the deletion of what it folded in is harmless. To find
-the items of a batch, their buckets' files are read and the tail, not the log.
+manifest, a new file each time, makes it take effect at once. What a compaction folded in is deleted by the
+one after it, so a reader that began before has its files for that long. To find the items of a batch, their
+buckets' files are read and the tail, not the log.
 """
 
 from __future__ import annotations
@@ -46,6 +46,16 @@ class Files:
         store, p = self._at(path)
         return sorted(s.getPath().getName() for s in store.listStatus(p)) if store.exists(p) else []
 
+    def below(self, path: str) -> list[str]:
+        """Paths of all data files."""
+        store, p = self._at(path)
+        out, each = [], store.listFiles(p, True) if store.exists(p) else None
+        while each is not None and each.hasNext():
+            f = each.next().getPath()
+            if not f.getName().startswith(("_", ".")):
+                out.append(f.toString())
+        return sorted(out)
+
     def delete(self, path: str) -> None:
         store, p = self._at(path)
         store.delete(p, True)
@@ -71,10 +81,10 @@ def bucket_of(item: Column, buckets: int = BUCKETS) -> Column:
 
 
 def manifest(spark: SparkSession, log: str) -> dict:
-    """The one in force: version, through (a batch), buckets (to the version that has them)."""
+    """The one in force: version, through (a batch), buckets (to the version that has them), folded (files)."""
     files = Files(spark)
     names = [n for n in files.children(f"{log}/_manifest") if n.endswith(".json")]
-    return json.loads(files.read(f"{log}/_manifest/{names[-1]}")) if names else {"version": 0, "through": -1, "buckets": {}}
+    return json.loads(files.read(f"{log}/_manifest/{names[-1]}")) if names else {"version": 0, "through": -1, "buckets": {}, "folded": []}
 
 
 def _rows(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -83,10 +93,16 @@ def _rows(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.schema(ITEM_LOG).option("recursiveFileLookup", "true").parquet(*paths)
 
 
-def tail_paths(spark: SparkSession, log: str, through: int) -> list[str]:
-    """Folders of what isn't in the snapshot: submissions not folded in, and later batches."""
-    names = [n for n in Files(spark).children(log) if not n.startswith(("_", "."))]
-    return [f"{log}/{n}" for n in names if not n.startswith("batch_id=") or int(n.removeprefix("batch_id=")) > through]
+def _batch(name: str) -> int | None:
+    return int(name.removeprefix("batch_id=")) if name.startswith("batch_id=") else None
+
+
+def tail_paths(spark: SparkSession, log: str, state: dict) -> list[str]:
+    """What isn't in the snapshot: folders of later batches, files of submissions that aren't folded in."""
+    files, folded = Files(spark), set(state["folded"])
+    names = [n for n in files.children(log) if not n.startswith(("_", "."))]
+    later = [f"{log}/{n}" for n in names if _batch(n) is not None and _batch(n) > state["through"]]
+    return later + [f for n in names if _batch(n) is None for f in files.below(f"{log}/{n}") if f not in folded]
 
 
 def snapshot_paths(log: str, state: dict, buckets: list[int] | None = None) -> list[str]:
@@ -101,10 +117,10 @@ def read_log(spark: SparkSession, log: str, ids: DataFrame | None = None) -> Dat
     """
     state = manifest(spark, log)
     if ids is None:
-        return _rows(spark, snapshot_paths(log, state)).unionByName(_rows(spark, tail_paths(spark, log, state["through"])))
+        return _rows(spark, snapshot_paths(log, state)).unionByName(_rows(spark, tail_paths(spark, log, state)))
     ids = ids.select("id").distinct()
     buckets = [r[0] for r in ids.select(bucket_of(F.col("id"))).distinct().collect()]
-    rows = _rows(spark, snapshot_paths(log, state, buckets)).unionByName(_rows(spark, tail_paths(spark, log, state["through"])))
+    rows = _rows(spark, snapshot_paths(log, state, buckets)).unionByName(_rows(spark, tail_paths(spark, log, state)))
     few = [r[0] for r in ids.limit(PUSHED_IDS + 1).collect()]
     return rows.filter(F.col("id").isin(few)) if len(few) <= PUSHED_IDS else rows.join(ids, "id", "left_semi")
 
@@ -123,31 +139,29 @@ def needed(log: DataFrame) -> DataFrame:
 def compact(spark: SparkSession, log: str, through: int) -> dict:
     """Folds the tail, as far as the batch `through` and all submissions, into the snapshot; the new manifest.
 
-    Batches up to `through` are done: no replay will write them again. Only files that were read go
-    afterwards, so a submission that is written meanwhile stays.
+    Batches up to `through` are done: no replay will write them again. A submission that is written meanwhile is
+    in files of its own, and stays in the tail.
     """
     files, state = Files(spark), manifest(spark, log)
-    late = lambda n: n.startswith("batch_id=") and int(n.removeprefix("batch_id=")) > through
-    paths = [p for p in tail_paths(spark, log, state["through"]) if not late(p.rsplit("/", 1)[1])]
-    folded = _rows(spark, paths).inputFiles() if paths else []
-    if not folded:
+    upto = lambda n, last: _batch(n) is not None and _batch(n) <= last
+    paths = [p for p in tail_paths(spark, log, state) if _batch(name := p.rsplit("/", 1)[1]) is None or upto(name, through)]
+    if not paths:
         return state
-    tail = spark.read.schema(ITEM_LOG).parquet(*folded)
+    tail = _rows(spark, paths)
     touched = [r[0] for r in tail.select(bucket_of(F.col("id"))).distinct().collect()]  # BUCKETS numbers at most
     version = state["version"] + 1
     rows = needed(_rows(spark, snapshot_paths(log, state, touched)).unionByName(tail)).withColumn("bucket", bucket_of(F.col("id")))
     dealt = rows.repartition(F.col("bucket"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(8))).sortWithinPartitions("bucket", "id")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{log}/_snapshot/v={version}")
-    new = {"version": version, "through": max(through, state["through"]), "buckets": state["buckets"] | {str(b): version for b in touched}}
-    files.create(f"{log}/_manifest/{version:012d}.json", json.dumps(new))
-    for f in folded:
+    for f in state["folded"]:
         files.delete(f)
-    for n in files.children(log):
-        if n.startswith("batch_id=") and not late(n):
-            files.delete(f"{log}/{n}")
-    for n in files.children(f"{log}/_work"):
-        if not late(n):
-            files.delete(f"{log}/_work/{n}")
+    submissions = [p for p in paths if _batch(p.rsplit("/", 1)[1]) is None]
+    new = {"version": version, "through": max(through, state["through"]), "buckets": state["buckets"] | {str(b): version for b in touched}, "folded": submissions}
+    files.create(f"{log}/_manifest/{version:012d}.json", json.dumps(new))
+    for top in (log, f"{log}/_work"):
+        for n in files.children(top):
+            if upto(n, state["through"]):
+                files.delete(f"{top}/{n}")
     _vacuum(files, log, new)
     return new
 
