@@ -163,3 +163,19 @@ def test_pipeline_stages(spark, data):
         docs = out.select(*docs.columns)
     total, taken = out.agg(F.sum("size")).first()[0], out.agg(F.sum("taken")).first()[0]
     assert abs(total - taken) <= 20
+
+
+def test_sample_for_splitters_is_never_empty_and_grows_with_the_ranges(spark):
+    """A share below one millionth still chooses rows, about as many as wanted; ranges cut at the sample's quantiles stay even."""
+    n = 10**12
+    assert suffix_dedup.wanted_sample(10**6) == suffix_dedup.SAMPLE and suffix_dedup.wanted_sample(n) == 8 * n // suffix_dedup.IN_RANGE
+    rows = spark.range(3_000_000).select(F.xxhash64("id").alias("h"), F.xxhash64("id", F.lit(7)).alias("core"))  # what is sorted by isn't what is chosen by
+    for wanted, of in ((4000, 3_000_000), (1, 6_000), (10**4, 10**11)):
+        got = rows.filter(suffix_dedup.chosen(F.col("h"), wanted, of)).count()
+        want = 3_000_000 * wanted / of
+        assert abs(got - want) <= 5 * want**0.5 + 2
+    assert rows.filter(suffix_dedup.chosen(F.col("h"), 5, 3)).count() == 3_000_000
+    sample = sorted(r.core for r in rows.filter(suffix_dedup.chosen(F.col("h"), 8 * 150, 3_000_000)).collect())
+    cuts = sorted({sample[i * len(sample) // 150] for i in range(1, 150)})
+    sizes = rows.groupBy(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("core")))).count()
+    assert sizes.agg(F.max("count")).first()[0] < 4 * 20_000

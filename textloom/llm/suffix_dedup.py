@@ -33,17 +33,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut
+from textloom.llm.common import cut, small
 from textloom.llm.vectext import PIECE, map_batches, mix, powers
 
 SIZE, REACH, GRAM = 400, 200, 16
 PAIRWISE = 200
 LARGE = 20_000
 IN_RANGE = 20_000
-SAMPLE = 4000
+#: Sampled cores for the splitters, at least, and for each range.
+SAMPLE, SAMPLE_A_RANGE = 4000, 8
 CHUNK_BYTES = 1 << 20
 KEY = "k1 bigint, k2 bigint"
 
@@ -291,10 +292,20 @@ def _merge_range(f: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["c1", "c2", "before", "after"])
 
 
+def wanted_sample(n: int) -> int:
+    """Cores to sample of n entries: in proportion to the ranges, so that ranges stay as small however many entries there are."""
+    return max(SAMPLE, SAMPLE_A_RANGE * -(-n // IN_RANGE))
+
+
+def chosen(h: Column, wanted: int, n: int) -> Column:
+    """Whether a row of this 64-bit hash is one of about `wanted` among n; in steps of 2 ** -62, so no share is too small."""
+    return F.pmod(h, F.lit(2**62)) < F.lit(min(2**62, 2**62 * wanted // max(n, 1)))
+
+
 def sorted_spans(texts: DataFrame, sample: list[bytes], n: int) -> DataFrame:
     """(c1, c2, before, after) of the n entries of texts (text; pos, c1, c2, n, l, r, kinds: arrays), by merge sort.
 
-    sample: about SAMPLE cores, for the splitters: entries that share one are settled together.
+    sample: cores for the splitters, as wanted_sample() has it: entries that share one are settled together.
     """
     ranges = max(1, -(-n // IN_RANGE))
     sample = sorted(sample)
@@ -388,10 +399,9 @@ def repeated_spans(docs: DataFrame, large: int = LARGE) -> tuple[DataFrame, Data
         """The texts that entries are taken from, with the entries. Rows that repeat give theirs again; the sort drops those."""
         wanted = chosen.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), *lists[1:])).alias("w"))
         wanted = wanted.select("k1", "k2", *[F.col("w")[c].alias(c) for c in lists])
-        return held.select("k1", "k2", "text").join(F.broadcast(wanted) if few else cut(wanted), ["k1", "k2"]).select("text", *lists)
+        return held.select("k1", "k2", "text").join(small(cut(wanted)) if few else cut(wanted), ["k1", "k2"]).select("text", *lists)
 
-    share = F.pmod(F.xxhash64("c1", "c2"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / max(n, 1)))
-    sample = map_batches(texts_of(entries.filter(share), few=True), _cores, "core binary").collect() if n > IN_RANGE else []  # about SAMPLE rows
+    sample = map_batches(texts_of(entries.filter(chosen(F.xxhash64("c1", "c2"), wanted_sample(n), n)), few=True), _cores, "core binary").collect() if n > IN_RANGE else []
     settled = sorted_spans(texts_of(entries.filter(F.col("kinds") <= large)), [bytes(r[0]) for r in sample], n - n_big)
     if n_big:
         settled = settled.unionByName(counted_spans(texts_of(entries.filter(F.col("kinds") > large))))
