@@ -282,7 +282,7 @@ def searcher(items: list[tuple[int, str]], table: np.ndarray, cosine: float, sur
                 if share == 1.0:
                     break
             if best[0]:
-                rows.append((ids[d], None if known[k][0] is None else str(known[k][0]), best[2], best[1]))
+                rows.append((ids[d], known[k][0], best[2], best[1]))
         return pd.DataFrame(rows, columns=["doc_id", "item_id", "cosine", "lcs"])
 
     return fn
@@ -296,7 +296,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, sure: f
     give no rows.
     """
     table = fit(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), rank)
-    items = ((r["item_id"], r["text"]) for r in benchmark.filter("text IS NOT NULL").select("item_id", "text").toLocalIterator())
+    items = ((r["item_id"], r["text"]) for r in benchmark.filter("text IS NOT NULL").select(F.col("item_id").cast("string"), "text").toLocalIterator())
     out = None
     while block := list(islice(items, ITEMS_AT_ONCE)):
         part = map_batches(docs.select("doc_id", "text"), searcher(block, table, cosine, sure, likely), "doc_id bigint, item_id bigint, cosine double, lcs double", ("doc_id", "item_id"))
