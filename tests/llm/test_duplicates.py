@@ -59,6 +59,31 @@ def test_minhash(spark, odd, empty):
     assert minhash.components(empty).count() == 0
 
 
+def test_minhash_of_null_and_shared_ids(spark):
+    """Rows without an id link like others; an id's texts link one by one, whatever else the id has."""
+    r = random.Random(31)
+    base, other, far, long = (" ".join(words_of(r, n)) for n in (100, 120, 90, 3000))
+    near = lambda t, k: t.replace(t.split()[k], f"changed{k}", 1)
+    rows = [
+        (50, base), (None, near(base, 60)), (None, near(base, 60)), (None, near(base, 60)),  # without an id, near one that has one, repeated
+        (None, other), (None, near(other, 50)), (None, other),  # no row has an id
+        (7, far), (7, long), (8, near(far, 40)), (9, near(long, 500)), (9, "word"), (None, "word"),  # ids of texts apart
+        (7, ""), (None, ""), (None, None), (3, None), (60, base), (60, base),
+    ]
+    rows += [(None, " ".join(words_of(r, 30))) for _ in range(5)]
+    # brute force: rows without an id get ids of their own, beyond all others
+    mine = [(i if i is not None else 1000 + n, t) for n, (i, t) in enumerate(rows)]
+    own = brute_components([(i, t) for i, t in mine if shingles(t)])
+    want = []
+    for (i, t), (j, _) in zip(rows, mine, strict=True):
+        top = own[j] if shingles(t) else i
+        top = None if top is not None and top >= 1000 else top
+        want.append((i, len(shingles(t)), top, i == top))
+    out = minhash.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert Counter(tuple(x) for x in out.collect()) == Counter(want)
+    assert sum(w[2] == 50 for w in want) == 6 and sum(w[2] == 7 for w in want) == 7
+
+
 def test_bitmaps_never_rule_out_what_sets_share(spark):
     r = random.Random(4)
     texts = [*near_group(r, 15, 6), *near_group(r, 15, 20), " ".join(words_of(r, 9000)), " ".join(words_of(r, 3)), "a"]

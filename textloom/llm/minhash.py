@@ -6,7 +6,8 @@ COLLECTIONS left and as many right collections of HALF minhashes each are comput
 tables of their own would. At the least similarity that counts, 0.85, a pair meets in some
 table with probability (1 - (1 - 0.85 ** 3) ** 8) ** 2 = 0.999.
 
-1. Documents with one shingle set are a class, found by a 128-bit set hash; its least doc_id stands for it.
+1. Documents with one shingle set are a class, found by a 128-bit set hash and numbered; ids of documents,
+   which may be null or shared, come in only when the components are named.
 2. Collections that no other class shares can't make a table key that another class has, so only
    shared ones are combined into keys.
 3. In each table every class meets the least of its bucket: a star, not all pairs. First it is
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut
+from textloom.llm.common import cut, small
 from textloom.llm.components import connected_components
 from textloom.llm.vectext import map_batches, mix, windows, word_hashes
 
@@ -52,11 +53,11 @@ def signatures(collections: int, half: int, seed: int, percent: int):
         return np.packbits(bits).view(np.int64)
 
     def fn(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for doc_id, words in zip(frame["doc_id"], word_hashes(list(frame["text"])), strict=True):
+        rows, carried = [], frame.drop(columns="text")
+        for words in word_hashes(list(frame["text"])):
             s = np.unique(windows(words))
             if not len(s):
-                rows.append((doc_id, 0, 0, 0, [], nothing))
+                rows.append((0, 0, 0, [], nothing))
                 continue
             least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
             for at in range(0, len(s), CHUNK):
@@ -66,14 +67,15 @@ def signatures(collections: int, half: int, seed: int, percent: int):
             for j in range(half):
                 keys = mix(keys + groups[:, j])
             m = mix(s)
-            rows.append((doc_id, len(s), m.sum(dtype=np.uint64).astype(np.int64), np.bitwise_xor.reduce(mix(m + np.uint64(1))).astype(np.int64), keys.view(np.int64), bitmap(m)))
-        return pd.DataFrame(rows, columns=["doc_id", "n_shingles", "s1", "s2", "keys", "bits"])
+            rows.append((len(s), m.sum(dtype=np.uint64).astype(np.int64), np.bitwise_xor.reduce(mix(m + np.uint64(1))).astype(np.int64), keys.view(np.int64), bitmap(m)))
+        made = pd.DataFrame(rows, columns=["n_shingles", "s1", "s2", "keys", "bits"], index=carried.index)
+        return pd.concat([carried, made], axis=1)
 
     return fn
 
 
 def _sets(frame: pd.DataFrame) -> pd.DataFrame:
-    rows = [(d, np.unique(windows(w)).view(np.int64)) for d, w in zip(frame["doc_id"], word_hashes(list(frame["text"])), strict=True)]
+    rows = [(i, np.unique(windows(w)).view(np.int64)) for i, w in zip(frame["id"], word_hashes(list(frame["text"])), strict=True)]
     return pd.DataFrame(rows, columns=["id", "items"])
 
 
@@ -120,6 +122,23 @@ def possible(x: str, y: str):
     return F.least(F.col(f"{x}n") - lacks(x, y), F.col(f"{y}n") - lacks(y, x))
 
 
+def one_text_each(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, text) of wanted classes (id, doc_id, t1, t2: a row that has the set), once each however often that row is repeated."""
+    w = wanted.select("id", *[F.col(c).alias("w_" + c) for c in ("doc_id", "t1", "t2")])
+    same = (F.col("t1") == F.col("w_t1")) & (F.col("t2") == F.col("w_t2")) & F.col("doc_id").eqNullSafe(F.col("w_doc_id"))
+    return docs.join(w, same).groupBy("id").agg(F.first("text").alias("text"))
+
+
+def of_one_id(full: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) that join the classes of an id's texts, where rows that share an id have different sets."""
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("s1", "s2") for f in (F.min, F.max)]
+    several = full.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(*ends).filter("min_s1 < max_s1 OR min_s2 < max_s2").select("doc_id")
+    shared = full.select("doc_id", "s1", "s2").join(small(cut(several)), "doc_id").distinct()
+    mine = cut(shared.join(classes.select("s1", "s2", "id"), ["s1", "s2"]).select("doc_id", "id"))
+    least = mine.groupBy("doc_id").agg(F.min("id").alias("a"))
+    return cut(mine.join(least, "doc_id").filter("a <> id").select("a", F.col("id").alias("b")))
+
+
 def _ratio(percent: int, x: str, y: str):
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
@@ -129,18 +148,22 @@ def components(docs: DataFrame, percent: int = PERCENT, collections: int = COLLE
 
     Null, empty and blank texts have no shingles, link with nothing and are kept; of identical
     rows each is returned, alike; rows that share an id are one document with the links of all
-    its texts; an empty table gives no rows.
+    its texts. Rows without an id are documents of their own, linked like others: a component is
+    named by its least id, and where no row has one its component_id is null and all its rows are
+    kept. An empty table gives no rows.
     """
-    docs = docs.select("doc_id", "text")
-    signed = cut(map_batches(docs, signatures(collections, half, seed, percent), "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, keys array<bigint>, bits array<bigint>"))
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
+    signed = cut(map_batches(docs, signatures(collections, half, seed, percent), "doc_id bigint, t1 bigint, t2 bigint, n_shingles bigint, s1 bigint, s2 bigint, keys array<bigint>, bits array<bigint>"))
     full = signed.filter("n_shingles > 0")
-    classes = cut(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2"))
+    classes = full.groupBy("s1", "s2").agg(least.alias("of"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))  # fixed from here on, as they are read from what was written
     rows = cut(bucket_rows(classes, collections))
     heads = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("h"), F.count("*").alias("k")).filter("k > 1")
     stars = rows.join(heads.select("key", F.col("h.id").alias("a"), F.col("h.n").alias("an")), "key").filter(F.col("id") != F.col("a"))
     stars = cut(stars.filter(_ratio(percent, "n", "an")).select("a", F.col("id").alias("b")).distinct())
-    wanted = rows.select(F.col("id").alias("doc_id")).distinct()
-    sets = cut(map_batches(docs.join(wanted, "doc_id", "left_semi"), _sets, "id bigint, items array<bigint>", ("doc_id", "id")))
+    wanted = small(cut(classes.join(rows.select("id").distinct(), "id", "left_semi").select("id", "of.doc_id", "of.t1", "of.t2")))
+    sets = cut(map_batches(one_text_each(docs, wanted), _sets, "id bigint, items array<bigint>", ("id",)))
     # one head a class first: in a group of near copies that connects most, and what is connected needs no other link
     least = cut(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     near = cut(confirm(least, sets, percent))
@@ -164,11 +187,13 @@ def components(docs: DataFrame, percent: int = PERCENT, collections: int = COLLE
     across = x.join(y, "key").filter((F.col("acomponent") != F.col("bcomponent")) & (F.col("aid") < F.col("bid")) & close & first_table(collections))
     across = across.select(F.col("aid").alias("a"), F.col("bid").alias("b"))
     across = across.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    every = links.unionByName(cut(confirm(across, sets, percent)))
+    every = links.unionByName(cut(confirm(across, sets, percent))).unionByName(of_one_id(full, classes))
     label = cut(connected_components(every))
-    of_class = classes.join(label, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "s1", "s2").join(of_class.withColumn("full", F.lit(True)), ["s1", "s2"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("full"), F.col("component")).otherwise(F.col("doc_id"))
+    of_class = cut(classes.select("s1", "s2", "id", F.col("of.doc_id").alias("least")).join(label, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    names = of_class.groupBy("component").agg(F.min("least").alias("name"))
+    named = of_class.join(names, "component").select("s1", "s2", "name")
+    out = signed.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("name")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
