@@ -385,6 +385,17 @@ def results_page(spark, d):
     return jobs.results_page(items, str(first), "2", "7").select("id", "status")
 
 
+@query("result_positions", """SELECT event_id::VARCHAR AS id, user_id::VARCHAR AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY ts::DATE, event_id::VARCHAR) - 1 AS position FROM events""")
+def result_positions(spark, d):
+    """Where each item stands in its job, for all jobs: what pages are read by."""
+    from textloom.streaming.paging import positions
+
+    items = table(spark, d, "events", "event_id", "ts", "user_id").select(
+        F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("job_id"), F.to_date("ts").cast("string").alias("created_at")
+    )
+    return positions(items).select("id", "job_id", "position")
+
+
 @query("retry_plan", """SELECT conv_id, turn, CASE WHEN turn >= 3 THEN 'fail' ELSE 'retry' END AS action,
 CASE WHEN turn < 3 THEN least(30, greatest(2, pow(2, turn)))::BIGINT END AS delay_s FROM conversations""")
 def retry_plan(spark, d):

@@ -28,6 +28,7 @@ from textloom.functions.text import retry_delay_seconds
 from textloom.operators import jobs, scrape
 from textloom.sources.queue import MAX_MESSAGES, QueueSource
 from textloom.streaming.consumer import WAIT, _transitions, accept, now_ms, outcomes
+from textloom.streaming.paging import index
 from textloom.streaming.store import COMPACT_EVERY, Files, compact, manifest, read_log
 from textloom.streaming.timers import hold
 
@@ -165,7 +166,7 @@ def serve(
     """The whole consumer: messages by number, held until they are due, worked on phase by phase, the log compacted on the way.
 
     Retries that aren't due wait in the state store with a timer. Each `every` batches, those before are folded into the
-    snapshot. The session's state store becomes RocksDB, which timers need.
+    snapshot and their jobs' items get positions. The session's state store becomes RocksDB, which timers need.
     """
     spark.dataSource.register(QueueSource)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -176,6 +177,8 @@ def serve(
         Batch(batch, number, places, fetch, render, clock).run()
         session = batch.sparkSession
         if number - manifest(session, places.log)["through"] > every:  # this batch may yet be run again, those before not
+            index(session, places.log)  # of the compaction before, if a crash came between
             compact(session, places.log, number - 1)
+            index(session, places.log)
 
     return due.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(processingTime=wait).start()
