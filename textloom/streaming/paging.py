@@ -87,6 +87,8 @@ def index(spark: SparkSession, log: str) -> dict:
     if state["version"] == have["through"]:
         return have
     missed = state["version"] > have["through"] + 1
+    if not missed and not state["folded"]:
+        return _put(Files(spark), log, have, {"version": have["version"] + 1, "through": state["version"], "parts": have["parts"]})
     new = _created(read_log(spark, log) if missed else _rows(spark, state["folded"]))
     buckets = None if missed else [r[0] for r in new.select(bucket_of(F.col("job_id"))).distinct().collect()]  # BUCKETS numbers at most
     known = _read(spark, log, [p["v"] for p in have["parts"]], buckets).filter("position = 0").select("job_id")
@@ -102,11 +104,14 @@ def index(spark: SparkSession, log: str) -> dict:
         dealt = every.repartitionByRange(math.ceil(n / CHUNK), "bucket", "chunk", "job_id", "position").sortWithinPartitions("bucket", "chunk", "job_id", "position")
         dealt.write.mode("overwrite").partitionBy("bucket", "chunk").parquet(f"{log}/_positions/v={version}")
         parts.append({"v": version, "n": n})
-    now = {"version": version, "through": state["version"], "parts": parts}
-    files, at = Files(spark), f"{log}/_positions"
-    files.create(f"{at}/_manifest/{version:012d}.json", json.dumps(now))
-    # parts that neither this manifest nor the one before has: a reader that began before is done by then
-    used = {f"v={p['v']}" for p in [*parts, *have["parts"]]}
+    return _put(Files(spark), log, have, {"version": version, "through": state["version"], "parts": parts})
+
+
+def _put(files: Files, log: str, have: dict, now: dict) -> dict:
+    """Puts the manifest in force and deletes parts that neither it nor the one before has: a reader that began before is done by then."""
+    at = f"{log}/_positions"
+    files.create(f"{at}/_manifest/{now['version']:012d}.json", json.dumps(now))
+    used = {f"v={p['v']}" for p in [*now["parts"], *have["parts"]]}
     for v in files.children(at):
         if v.startswith("v=") and v not in used:
             files.delete(f"{at}/{v}")
