@@ -1,5 +1,8 @@
 """Expected values are literals worked out by hand from the rules."""
 
+import random
+
+import plain_urls
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,16 +80,64 @@ def test_strict_private_hosts(spark):
     ("http://0x7f.1/", "http://127.0.0.1/"), ("http://[2001:db8:0:0::1]/", "http://[2001:db8::1]/"), ("http://bücher.de/ü", "http://xn--bcher-kva.de/%C3%BC"), ("http://ex.com/%2e%2e/a", "http://ex.com/a"),
     ("http://a_b.com/", "http://a_b.com/"), ("http://ex.com/a/..", "http://ex.com/"), ("ht\ntp://ex.com/", "http://ex.com/"), ("http://ex.com?x", "http://ex.com/?x"),
 ])
-def test_canonical(given, canonical):
-    assert urls.canonicalize(given) == (canonical, None)
+def test_canonical(spark, given, canonical):
+    assert plain_urls.canonicalize(given) == (canonical, None)
+    error = urls.PRIVATE_HOST if "127.0.0.1" in canonical else None
+    assert values(spark, [given], urls.parse_url) == [(None if error else canonical, error)]
 
 
 @pytest.mark.parametrize("given, error", [
     ("nonsense", urls.INVALID_URL), ("http://", urls.INVALID_URL), ("http://ex.com:99999/", urls.INVALID_URL), ("http://a b.com/", urls.INVALID_URL), ("http://[::1/", urls.INVALID_URL),
     ("ftp://ex.com/", urls.ONLY_HTTP), ("mailto:a@b.c", urls.ONLY_HTTP), ("http://256.1.1.1/", urls.INVALID_URL),
 ])
-def test_rejected(given, error):
-    assert urls.canonicalize(given) == (None, error)
+def test_rejected(spark, given, error):
+    assert plain_urls.canonicalize(given) == (None, error)
+    assert values(spark, [given], urls.parse_url) == [(None, error)]
+
+
+def made_urls(n, seed=5):
+    """URLs of all shapes: each part is drawn from plain and odd pieces."""
+    r = random.Random(seed)
+    odd = ["a", "B", "%41", "%2e", "%2E%2e", ".", "..", "...", " ", "ü", "\U0001F600", "\x85", "\u2028", "\x01", "\t", "\n", '"', "'", "`", "{", "}", "|", "^", "<", ">", "\\", "/", "//", "~", "%", "%zz", "+", ";", "$1", "@", ":", "[", "]", "é%C3"]
+    some = lambda k, pieces=odd: "".join(r.choice(pieces) for _ in range(r.randrange(k)))
+    hosts = ["ex.com", "EX.Com", "a_b.com", "www.example.co.uk", "x-.org", "bücher.de", "xn--bcher-kva.de", "1.2.3.4", "1.2.3.4.", "01.2.3.4", "0x7f.1", "256.1.1.1", "1.2.3.4.5", "3232235777", "a.1b", "a.0x", "[::1]", "[2001:db8::1]", "[::1", "", "ex%41.com", "a b.com", "ex..com", "ex.com.", "b^c.de", "*.de", "ümlaut"]
+    for _ in range(n):
+        scheme = r.choice(["http", "HTTPS", "https", "http", "ftp", "ws", "mailto", "h t", "", "ht\ntp", "1a"])
+        where = r.choice(hosts) if r.random() < 0.9 else some(4)
+        login = some(4) + r.choice(["", ":", ":" + some(3)]) + "@" if r.random() < 0.15 else ""
+        port = r.choice([":80", ":443", ":8080", ":", ":00080", ":65535", ":65536", ":x", ":0", ":99999999999999999999", "::1"]) if r.random() < 0.3 else ""
+        path = "".join(r.choice(["/", "\\"]) + some(4) for _ in range(r.randrange(5)))
+        tail = r.choice(["", "?", "?" + some(5), "#", "#" + some(5), "?" + some(4) + "#" + some(4) + "?#"])
+        yield r.choice(["", " ", "\x00", "\t\n"]) + scheme + r.choice([":", "://", "://", "://", ":/", ":\\/", ":////"]) + login + where + port + path + tail + r.choice(["", " ", "\x1f"])
+
+
+def test_columns_equal_the_algorithm(spark):
+    given = list(made_urls(10_000))
+    found = values(spark, given, lambda c: F.struct(urls.parse_url(c).alias("p"), urls.unusual_host(c).alias("python")))
+    private = set(values(spark, [], urls.parse_url))
+    for url, row in zip(given, found, strict=True):
+        canonical, error = plain_urls.canonicalize(url)
+        if row.p.error == urls.PRIVATE_HOST:
+            private.add(canonical)
+        else:
+            assert (row.p.canonical, row.p.error) == (canonical, error), url
+    assert None not in private and {urls.PRIVATE_HOST} == {e for _, e in values(spark, sorted(private), urls.parse_url)}
+    assert sum(x is not None for _, x in found) < 0.5 * len(given)
+    assert {x for _, x in found} >= {None, "bücher.de", "[::1]", "0x7f.1"} and not {x for _, x in found} & {"ex.com", "1.2.3.4", "a_b.com"}
+
+
+def test_parsing_of_nulls_and_long_urls(spark):
+    long = "http://ex.com/" + "ü" * 200_000 + "?" + "x" * 200_000
+    dots = "http://ex.com" + "/a/../b/." * 2_000
+    assert values(spark, [None, "", long, dots], urls.parse_url) == [
+        (None, urls.INVALID_URL), (None, urls.INVALID_URL), ("http://ex.com/" + "%C3%BC" * 200_000 + "?" + "x" * 200_000, None), ("http://ex.com" + "/b" * 2_000 + "/", None),
+    ]
+
+
+def test_only_hosts_go_to_python(spark):
+    plan = spark.createDataFrame([("http://EX.com/ü",)], "u string").select(urls.parse_url(F.col("u")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert values(spark, ["http://EX.com/ü/../b", "http://bücher.de:80/ü"], urls.unusual_host) == [None, "bücher.de"]
 
 
 def test_special_and_component(spark):

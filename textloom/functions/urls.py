@@ -1,6 +1,6 @@
-"""URL expressions: native predicates, and the WHATWG parser as one Arrow UDF.
+"""URL expressions: native predicates, and the WHATWG parser in columns.
 
-A URL that is canonical already (CLEAN, without dot segments) never reaches Python.
+Only hosts that columns can't judge (international names, numbers, IPv6) go to an Arrow UDF.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.functions.text import bind
+
 #: Observable messages.
 INVALID_URL = "Geçersiz URL"
 ONLY_HTTP = "Yalnızca HTTP ve HTTPS destekleniyor"
@@ -23,8 +25,6 @@ NOT_A_LIST = '"urls" bir dizi olmalı'
 NO_URL = "En az bir URL gerekli"
 TOO_MANY = "En fazla {} farklı URL gönderilebilir"
 
-PARSED = T.StructType([T.StructField("canonical", T.StringType()), T.StructField("error", T.StringType())])
-
 SPECIAL_PORTS = {"http": 80, "https": 443, "ftp": 21, "ws": 80, "wss": 443}
 
 #: Canonical already: lower-case DNS host that doesn't end in a number, no port, plain characters.
@@ -76,14 +76,6 @@ def decode_component(c: Column) -> Column:
     return F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
 
 
-def _escape(text: str, also: str) -> str:
-    out = []
-    for b in text.encode("utf-8", "replace"):
-        c = chr(b)
-        out.append(f"%{b:02X}" if b <= 0x1F or b > 0x7E or c in also else c)
-    return "".join(out)
-
-
 def _number(part: str) -> int | None:
     if part == "":
         return None
@@ -148,60 +140,106 @@ def _host(text: str) -> str:
     return address if address is not None else name
 
 
-def canonicalize(text: str) -> tuple[str | None, str | None]:
-    """(canonical, None), or (None, message). The public WHATWG algorithm for http and https."""
-    text = re.sub(r"[\t\n\r]", "", text.strip("".join(map(chr, range(0x21)))))
-    m = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):", text)
-    if not m:
-        return None, INVALID_URL
-    scheme, rest = m[1].lower(), text[m.end():]
-    if scheme not in SPECIAL_PORTS:
-        return None, ONLY_HTTP
-    rest, hash_, fragment = rest.partition("#")
-    rest, mark, query = rest.partition("?")
-    rest = re.sub(r"^[/\\]*", "", rest)
-    cut = re.search(r"[/\\]", rest)
-    authority, path = (rest[:cut.start()], rest[cut.start():]) if cut else (rest, "")
-    login, at, where = authority.rpartition("@")
-    try:
-        port = ""
-        if (p := re.search(r":([^:\]]*)$", where)) and not where.endswith("]"):
-            where, port = where[:p.start()], p[1]
-        if port and not (port.isascii() and port.isdigit() and int(port) <= 65535):
-            raise ValueError(port)
-        host = _host(where)
-    except (ValueError, UnicodeError):
-        return None, INVALID_URL
-    if scheme not in ("http", "https"):
-        return None, ONLY_HTTP
-    out, dots = [], re.compile(r"(?:\.|%2e)", re.I)
-    parts = re.split(r"[/\\]", path)[1:] or [""]
-    for i, part in enumerate(parts):
-        plain = dots.sub(".", part)
-        last = i == len(parts) - 1
-        if plain == "..":
-            out[-1:] = []
-        if plain in (".", ".."):
-            out += [""] * last
-        else:
-            out.append(_escape(part, ' "#<>?^`{}'))
-    user, colon, word = login.partition(":")
-    userinfo = " \"#<>?^`{}/:;=@[\\]|"
-    credentials = (_escape(user, userinfo) + (":" + _escape(word, userinfo) if word else "") + "@") if at and (user or word) else ""
-    shown_port = f":{int(port)}" if port and int(port) != SPECIAL_PORTS[scheme] else ""
-    tail = ("?" + _escape(query, " \"#<>'") if mark else "") + ("#" + _escape(fragment, ' "<>`') if hash_ else "")
-    return f"{scheme}://{credentials}{host}{shown_port}/{'/'.join(out)}{tail}", None
-
-
-def _canonicalize_series(urls: pd.Series) -> pd.DataFrame:
-    rows = [(None, None) if u is None else canonicalize(u) for u in urls]
-    return pd.DataFrame(rows, columns=["canonical", "error"], dtype=object)
+#: Scheme, login, host, port, path, query with its mark, fragment with its mark, of a text without line breaks.
+SPLIT = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*):[/\\]*(?:([^/\\?#]*)@)?([^/\\?#@]*?)(?::([^:\]/\\?#@]*))?(?=[/\\?#]|\z)([^?#]*)(\?[^#]*)?(#.*)?\z"
+SCHEME, LOGIN, HOST, PORT, PATH, QUERY, FRAGMENT = range(7)
+
+#: Hosts that columns can't judge: percent-encoded, not ASCII, punycode, bracketed, or with a last label that may be a number.
+UNUSUAL_HOST = r"(?i)%|[^\x00-\x7F]|xn--|^\[|(^|\.)([0-9]+|0x[0-9a-f]*)\.?\z"
+DOTTED_QUAD = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.(?!\z)|\z)){4}\z"
+BAD_HOST = r"[\x00-\x20#%/:<>?@\[\\\]^|\x7F]"
+
+#: What is percent-encoded in each part, beside control characters and what isn't ASCII.
+IN_LOGIN, IN_PATH, IN_QUERY, IN_FRAGMENT = " \"#<>?^`{}/:;=@[\\]|", ' "#<>?^`{}', " \"#<>'", ' "<>`'
+
+DOT, TWO_DOTS = r"(?i)^(?:\.|%2e)\z", r"(?i)^(?:\.|%2e){2}\z"
+HAS_DOTS = r"(?i)[/\\](?:\.|%2e){1,2}(?:[/\\]|\z)"
+
+
+def percent_encode(c: Column, also: str) -> Column:
+    """c with the UTF-8 bytes of control characters, of what isn't ASCII and of `also` as %XX. Runs of such characters are encoded at once."""
+    plain = "".join(f"\\x{b:02X}" for b in range(0x20, 0x7F) if chr(b) not in also)
+    runs = F.regexp_extract_all(c, F.lit(f"[{plain}]+|[^{plain}]+"), F.lit(0))
+    coded = F.transform(runs, lambda r: F.when(r.rlike(f"^[{plain}]"), r).otherwise(F.regexp_replace(F.hex(r), "(..)", "%$1")))
+    return F.when(c.rlike(f"[^{plain}]"), F.array_join(coded, "")).otherwise(c)
+
+
+def resolve_dots(path: Column) -> Column:
+    """The segments of a path (empty, or one that begins with a slash or backslash), without dot segments."""
+
+    def step(out: Column, x: Column) -> Column:
+        return F.when(x.rlike(TWO_DOTS), F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).when(x.rlike(DOT), out).otherwise(F.concat(out, F.array(x)))
+
+    def resolved(parts: Column) -> Column:
+        last = F.element_at(parts, -1)
+        ends = F.when(last.rlike(DOT) | last.rlike(TWO_DOTS), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.aggregate(parts, F.array().cast("array<string>"), step), ends)
+
+    parts = bind(F.split(F.regexp_replace(path, r"^[/\\]", ""), r"[/\\]", -1), resolved)
+    return F.when(path.rlike(HAS_DOTS), F.array_join(parts, "/")).otherwise(F.translate(F.regexp_replace(path, r"^[/\\]", ""), "\\", "/"))
+
+
+def _parts(url: Column) -> Column:
+    """The parts that SPLIT finds, as an array; one element where there's no scheme. Line breaks, which no URL keeps, are between them."""
+    text = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+\z", ""), r"[\t\n\r]+", "")
+    return F.split(F.regexp_replace(text, SPLIT, "\n".join(f"${i + 1}" for i in range(7))), "\n", -1)
+
+
+def _unusual_hosts(hosts: pd.Series) -> pd.Series:
+    def one(host: str | None) -> str | None:
+        try:
+            return None if host is None else _host(host)
+        except (ValueError, UnicodeError):
+            return None
+
+    return pd.Series([one(h) for h in hosts], dtype=object)
+
+
+def unusual_host(url: Column) -> Column:
+    """The host of a URL that only Python can judge (international names, numbers, IPv6); null for all others, which never reach it."""
+    host = F.get(_parts(url), F.lit(HOST))
+    return F.when(host.rlike(UNUSUAL_HOST) & ~host.rlike(DOTTED_QUAD), host)
+
+
+def _serialized(parts: Column, judged: Column) -> Column:
+    """struct<canonical, error> of a URL's parts; judged: its host if that is unusual, null if such a host is broken."""
+    at = lambda i: F.get(parts, F.lit(i))
+    scheme = F.lower(at(SCHEME))
+    host = at(HOST)
+    odd = host.rlike(UNUSUAL_HOST) & ~host.rlike(DOTTED_QUAD)
+    host = F.when(odd, judged).when((host != "") & ~host.rlike(BAD_HOST), F.lower(host))  # null: broken
+    digits = F.regexp_replace(at(PORT), "^0+(?=.)", "")
+    port = digits.try_cast("bigint")
+    port_ok = (at(PORT) == "") | (digits.rlike(r"^[0-9]{1,5}\z") & (port <= 65535))
+    ports = F.create_map(*[F.lit(x) for pair in SPECIAL_PORTS.items() for x in pair])
+    web = scheme.isin("http", "https")
+    error = (
+        F.when(F.size(parts) == 1, INVALID_URL).when(~scheme.isin(*SPECIAL_PORTS), ONLY_HTTP)
+        .when(host.isNull() | ~port_ok, INVALID_URL).when(~web, ONLY_HTTP)
+    )
+    user, word = F.substring_index(at(LOGIN), ":", 1), F.regexp_extract(at(LOGIN), r"(?s)^[^:]*:(.*)\z", 1)
+    login = F.when(at(LOGIN).isin("", ":"), "").otherwise(F.concat(percent_encode(user, IN_LOGIN), F.when(word != "", F.concat(F.lit(":"), percent_encode(word, IN_LOGIN))).otherwise(""), F.lit("@")))
+    shown = F.when((digits != "") & (port != F.get(F.map_values(F.map_filter(ports, lambda k, _: k == scheme)), F.lit(0))), F.concat(F.lit(":"), digits)).otherwise("")
+    tail = F.concat(percent_encode(at(QUERY), IN_QUERY), percent_encode(at(FRAGMENT), IN_FRAGMENT))
+    path = bind(resolve_dots(at(PATH)), lambda p: percent_encode(p, IN_PATH))
+    canonical = F.concat(scheme, F.lit("://"), login, host, shown, F.lit("/"), path, tail)
+    return F.struct(F.when(error.isNull(), canonical).alias("canonical"), error.alias("error"))
 
 
 def parse_url(url: Column) -> Column:
-    """struct<canonical, error>: parseable, then http or https, then not a private host."""
+    """struct<canonical, error>: parseable, then http or https, then not a private host.
+
+    The public WHATWG algorithm in columns: parts by one expression, dot segments by a fold, percent-encoding by runs. Only
+    hosts that columns can't judge (unusual_host) go to Python, without the rest of their URLs.
+    """
     clean = F.coalesce(url.rlike(CLEAN) & ~url.rlike(DOTTED), F.lit(False))
-    parsed = F.pandas_udf(_canonicalize_series, PARSED)(F.when(~clean, F.coalesce(url, F.lit(""))))
-    canonical = F.when(clean, url).otherwise(parsed["canonical"])
-    error = F.coalesce(parsed["error"], F.when(is_private_host(host_of(canonical)), PRIVATE_HOST))
-    return F.struct(F.when(error.isNull(), canonical).alias("canonical"), error.alias("error"))
+    judged = F.pandas_udf(_unusual_hosts, T.StringType())(F.when(~clean, unusual_host(url)))
+    given = F.struct(_parts(F.coalesce(url, F.lit(""))).alias("parts"), judged.alias("judged"))
+    usual = F.struct(url.alias("canonical"), F.lit(None).cast("string").alias("error"))
+    parsed = F.when(clean, usual).otherwise(bind(given, lambda g: _serialized(g["parts"], g["judged"])))
+
+    def public(p: Column) -> Column:
+        error = F.coalesce(p["error"], F.when(bind(host_of(p["canonical"]), is_private_host), PRIVATE_HOST))
+        return F.struct(F.when(error.isNull(), p["canonical"]).alias("canonical"), error.alias("error"))
+
+    return bind(parsed, public)
