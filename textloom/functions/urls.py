@@ -146,6 +146,8 @@ SCHEME, LOGIN, HOST, PORT, PATH, QUERY, FRAGMENT = range(7)
 
 #: Hosts that columns can't judge: percent-encoded, not ASCII, punycode, bracketed, or with a last label that may be a number.
 UNUSUAL_HOST = r"(?i)%|[^\x00-\x7F]|xn--|^\[|(^|\.)([0-9]+|0x[0-9a-f]*)\.?\z"
+#: Begins with a host that is certainly not unusual, so that most URLs aren't taken apart to see it.
+USUAL = r"(?i)^(?:https?|ftp|wss?)://(?![^/?#]*xn--)(?:[a-z0-9_-]+\.)+[a-z][a-z_-]*(?:[/?#]|\z)"
 DOTTED_QUAD = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.(?!\z)|\z)){4}\z"
 BAD_HOST = r"[\x00-\x20#%/:<>?@\[\\\]^|\x7F]"
 
@@ -197,7 +199,7 @@ def _unusual_hosts(hosts: pd.Series) -> pd.Series:
 
 def unusual_host(url: Column) -> Column:
     """The host of a URL that only Python can judge (international names, numbers, IPv6); null for all others, which never reach it."""
-    host = F.get(_parts(url), F.lit(HOST))
+    host = F.get(_parts(F.when(~url.rlike(USUAL), url)), F.lit(HOST))
     return F.when(host.rlike(UNUSUAL_HOST) & ~host.rlike(DOTTED_QUAD), host)
 
 
