@@ -279,3 +279,37 @@ def test_copies_share_a_rest_to_the_word(spark):
             if r.source != "b":
                 assert r.high - r.low <= 1
         assert Counter(out.select("doc_id", "source", "taken").collect()) == Counter(mixing.mix(docs.repartition(3), budget=budget).select("doc_id", "source", "taken").collect())
+
+
+def test_warc_carries_clashing_names_and_long_pages(spark):
+    names = ("_text", "_title", "_digest", "_links", "_head", "_body", "warc_type", "Block", "_block", "refers_to")
+    html = "<title>t</title><p>" + "long text " * 300_000 + "</p>"
+    pages = spark.createDataFrame([(1, "http://x/", html), (None, None, None)], "page_id long, url string, html string")
+    plain = warc.derive(warc.responses(pages), "page_id")
+    source = warc.responses(pages).withColumns({c: F.lit("own " + c) for c in names if c != "Block"}).withColumn("Mine", F.lit("own Block"))
+    out = warc.derive(source, "page_id", *[c for c in names if c != "Block"])
+    mine = ["_text", "_title", "_digest", "_links", "_head", "_body", "_warc_type", "_block", "_refers_to"]
+    assert out.columns == ["page_id", *mine, *warc.DERIVED]
+    assert {tuple(r) for r in out.select(mine).collect()} == {tuple("own " + c for c in names if c != "Block")}
+    assert Counter(map(tuple, out.drop(*mine).collect())) == Counter(map(tuple, plain.collect()))
+    clash = warc.responses(pages.withColumns({"Block": F.lit("b"), "_block": F.lit("c"), "warc_date": F.lit("d")}))
+    assert clash.columns == ["page_id", "url", "_Block", "__block", "_warc_date", *warc.RESPONSE]
+    assert {(r._Block, r["__block"], r._warc_date) for r in clash.collect()} == {("b", "c", "d")}
+
+
+@pytest.mark.parametrize("master, allowed", [("local[4]", True), ("local", True), ("local-cluster[2,1,1024]", False), ("spark://host:7077", False)])
+def test_only_a_local_session_gets_a_folder_of_its_own(master, allowed):
+    from unittest import mock
+
+    from textloom.llm import common
+
+    df = mock.MagicMock()
+    df.sparkSession.sparkContext.master = master
+    df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined.return_value = False
+    df.sparkSession.conf.get.return_value = None
+    if allowed:
+        common.cut(df)
+        df.sparkSession.sparkContext.setCheckpointDir.assert_called_once()
+    else:
+        with pytest.raises(ValueError, match="checkpoint"):
+            common.cut(df)

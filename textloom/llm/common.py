@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,13 +34,13 @@ def cut(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder and read back: what follows survives lost executors.
 
     The folder is the session's spark.checkpoint.dir. Only a local session (tests, one machine) gets
-    a temporary one; on a cluster a missing setting is an error. What df's own shuffles left on
+    a temporary one; on a cluster, local-cluster too, a missing setting is an error. What df's own shuffles left on
     disk goes when the driver has collected its garbage, which is asked for here.
     """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
+        if not folder and not re.match(r"local(\[|$)", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="textloom-"))
     out = df.checkpoint(eager=True)

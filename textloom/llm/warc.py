@@ -9,6 +9,8 @@ same records.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,13 +40,32 @@ def urn(*names: Column) -> Column:
     )
 
 
+RESPONSE = ("record_id", "target_uri", "warc_date", "block")
+DERIVED = ("warc_type", "record_id", "refers_to", "refers_to_uri", "refers_to_date", "content_type", "content_length", "block_digest", "block")
+
+
+def _beside(columns: Iterable[str], own: tuple[str, ...]) -> list[str]:
+    """The columns' names, with underscores before those that own or an earlier one has; case doesn't make a difference."""
+    out, taken = [], set(own)
+    for c in columns:
+        while c.lower() in taken:
+            c = "_" + c
+        taken.add(c.lower())
+        out.append(c)
+    return out
+
+
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
-    """Response records of stored pages (page_id, url, html). Null url and html count as empty."""
+    """Response records of stored pages (page_id, url, html). Null url and html count as empty.
+
+    The other columns stay; one named as a record's column gets an underscore before its name.
+    """
     html = text_or_empty("html")
     head = F.concat(F.lit("HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF + "Content-Length: "), F.octet_length(html).cast("string"), F.lit(CRLF + CRLF))
     uri = text_or_empty("url")
+    others = [c for c in pages.columns if c != "html"]
     return pages.select(
-        *[c for c in pages.columns if c not in ("html", "record_id", "target_uri", "warc_date", "block")],
+        *[F.col(c).alias(n) for c, n in zip(others, _beside(others, RESPONSE), strict=True)],
         urn(F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), uri).alias("record_id"),
         uri.alias("target_uri"), F.lit(date).alias("warc_date"), F.concat(head, html).alias("block"),
     )
@@ -60,12 +81,14 @@ def derive(source: DataFrame, *carry: str) -> DataFrame:
 
     The header ends at the first empty line; a block without one is all header. A null block
     counts as empty; responses without text get an empty conversion record; repeated rows give
-    repeated records with the same ids; an empty table gives none.
+    repeated records with the same ids; an empty table gives none. A carried column named as one of
+    these gets an underscore before its name.
     """
+    kept = [f"carried_{i}" for i in range(len(carry))]
     block = text_or_empty("block")
     split = F.instr(block, CRLF + CRLF)
     s = source.select(
-        *carry, "record_id", "target_uri", "warc_date",
+        *[F.col(c).alias(k) for c, k in zip(carry, kept, strict=True)], "record_id", "target_uri", "warc_date",
         F.when(split > 0, F.substring(block, F.lit(1), split - 1)).otherwise(block).alias("_head"),
         F.when(split > 0, F.substring(block, split + 4, F.length(block))).otherwise("").alias("_body"),
     )
@@ -84,10 +107,10 @@ def derive(source: DataFrame, *carry: str) -> DataFrame:
         return F.struct(F.lit(kind).alias("warc_type"), urn(F.lit(kind), F.col("record_id")).alias("record_id"), F.lit(content_type).alias("content_type"), content.alias("block"))
 
     both = F.array(record("metadata", "application/warc-fields", fields), record("conversion", "text/plain; charset=utf-8", F.col("_text")))
-    r = s.select(*carry, F.col("record_id").alias("refers_to"), F.col("target_uri").alias("refers_to_uri"), F.col("warc_date").alias("refers_to_date"), F.explode(both).alias("r"))
+    r = s.select(*kept, F.col("record_id").alias("refers_to"), F.col("target_uri").alias("refers_to_uri"), F.col("warc_date").alias("refers_to_date"), F.explode(both).alias("r"))
     b = F.col("r.block")
     return r.select(
-        *carry, "r.warc_type", "r.record_id", "refers_to", "refers_to_uri", "refers_to_date", "r.content_type",
+        *[F.col(k).alias(n) for k, n in zip(kept, _beside(carry, DERIVED), strict=True)], "r.warc_type", "r.record_id", "refers_to", "refers_to_uri", "refers_to_date", "r.content_type",
         F.octet_length(b).cast("bigint").alias("content_length"), sha1_base32(b).alias("block_digest"), b.alias("block"),
     )
 
