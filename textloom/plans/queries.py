@@ -270,17 +270,19 @@ def url_list_requests(spark, d):
 
 
 def _fixture_pages(spark, d) -> DataFrame:
-    return judged(spark, d).select("page_id", "url", "html", F.col("status").alias("http_status"), "content_type")
+    return judged(spark, d).select(F.col("page_id").cast("int").alias("pos"), "url", "html", F.col("status").alias("http_status"), "content_type")
 
 
 def scraped(spark, d) -> DataFrame:
-    """The pipeline over stored pages; what needs a browser is rendered from the page's title and text."""
+    """The pipeline over stored pages; what needs a browser is rendered from the page's title and text.
+
+    Pages go by their own place: a URL may have been stored several times.
+    """
     from textloom.sources.pages import stored_pages, stored_renders
 
     p = _fixture_pages(spark, d)
-    renders = html.extract(p).select("url", F.col("title").alias("raw_title"), F.col("text").alias("raw_text"), F.lit(0).alias("http_status"))
-    requests = p.select(F.col("page_id").cast("int").alias("pos"), "url")
-    return scrape.scrape(requests, stored_pages(p), stored_renders(renders))
+    renders = html.extract(p).select("pos", F.col("title").alias("raw_title"), F.col("text").alias("raw_text"), F.lit(0).alias("http_status"))
+    return scrape.scrape(p.select("pos", "url"), stored_pages(p), stored_renders(renders))
 
 
 _SCRAPED = f"""

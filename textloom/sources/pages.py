@@ -32,20 +32,29 @@ ACCEPT_LANGUAGE = "tr-TR,tr;q=0.9,en;q=0.8"
 USER_AGENT = "Mozilla/5.0 (compatible; textloom)"
 
 
+def _stored(rows: DataFrame) -> tuple[str, DataFrame]:
+    """(key, rows with one for each key), so that a request gets one row. With a pos, rows belong to requests, whose URLs
+    may repeat; of several that are stored under a URL alone, the greatest is taken, whatever their order."""
+    if "pos" in rows.columns:
+        return "pos", rows.drop("url")
+    rest = [c for c in rows.columns if c != "url"]
+    return "url", rows.groupBy("url").agg(F.max(F.struct(*rest)).alias("_row")).select("url", "_row.*")
+
+
 def stored_pages(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """Offline fetch: bodies come from a table (url, html, optional http_status and content_type)."""
+    """Offline fetch: bodies come from a table (url or pos, html, optional http_status and content_type)."""
 
     def col(name, default):
         return F.col(name) if name in pages.columns else default
 
-    stored = pages.select(
-        "url", col("http_status", F.lit(200)).cast("int").alias("http_status"),
+    key, stored = _stored(pages.select(
+        *[c for c in ("pos", "url") if c in pages.columns], col("http_status", F.lit(200)).cast("int").alias("http_status"),
         col("content_type", F.lit("text/html; charset=utf-8")).alias("content_type"),
         F.encode("html", "UTF-8").alias("body"),
-    )
+    ))
 
     def fetch(requests: DataFrame) -> DataFrame:
-        rows = requests.join(stored, "url", "left").withColumns({
+        rows = requests.join(stored, key, "left").withColumns({
             "final_url": F.col("url"),
             "fetch_error": F.when(F.col("http_status").isNull(), F.lit("not stored")),
             "duration_ms": F.lit(0),
@@ -180,10 +189,11 @@ def launched(launch: Callable[[], object], concurrency: int = RENDER_CONCURRENCY
 
 
 def stored_renders(renders: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """Offline render: rows of a table (url, raw_title, raw_text, optional http_status)."""
+    """Offline render: rows of a table (url or pos, raw_title, raw_text, optional http_status)."""
+    key, stored = _stored(renders)
 
     def render(requests: DataFrame) -> DataFrame:
-        rows = requests.select("pos", "url").join(renders, "url", "left")
+        rows = requests.select("pos", "url").join(stored, key, "left")
         extra = {
             "final_url": F.col("url"), "duration_ms": F.lit(0),
             "render_error": F.when(F.col("raw_text").isNull(), F.lit("not stored")),
