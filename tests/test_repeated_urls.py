@@ -18,7 +18,7 @@ def repeated(spark, tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["scrape_results"])
+@pytest.mark.parametrize("name", ["scrape_results", "scrape_summary"])
 def test_scrape_of_repeated_urls(spark, repeated, name):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{repeated}/pages.parquet/*.parquet')")
