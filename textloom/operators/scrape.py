@@ -25,8 +25,9 @@ def judge_fetched(fetched: DataFrame) -> DataFrame:
     return out.withColumn("reason", reason)
 
 
-def _row(**values: Column) -> list[Column]:
-    return [values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RESULT.fields]
+def _row(pos: Column, **values: Column) -> list[Column]:
+    """RESULT's columns; pos keeps its type."""
+    return [pos.alias("pos"), *[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RESULT.fields if f.name != "pos"]]
 
 
 def fetch_results(judged: DataFrame) -> DataFrame:
@@ -73,7 +74,7 @@ def admit(requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def scrape(
     requests: DataFrame, fetch: Callable[[DataFrame], DataFrame], render: Callable[[DataFrame], DataFrame], ordered: bool = False
 ) -> DataFrame:
-    """requests (pos, url) to RESULT rows; pos has the input order.
+    """requests (pos, url) to RESULT rows; pos has the input order, is unique and, with stored connectors, of any type.
 
     URLs are checked and made canonical first: what isn't http or https, can't be parsed or names a
     private host is a failure row and never fetched. ordered: sorted by pos, for requests capped

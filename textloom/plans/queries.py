@@ -270,19 +270,24 @@ def url_list_requests(spark, d):
 
 
 def _fixture_pages(spark, d) -> DataFrame:
-    return judged(spark, d).select(F.col("page_id").cast("int").alias("pos"), "url", "html", F.col("status").alias("http_status"), "content_type")
+    """Pages with a place of their own: what tells them apart, as ids may repeat or lack, and how many are alike in all."""
+    p = judged(spark, d).groupBy("page_id", "url", "html", F.col("status").alias("http_status"), "content_type").agg(F.count("*").alias("copies"))
+    place = F.struct("page_id", "url", F.sha2("html", 256).alias("digest"), "copies")
+    return p.select(place.alias("pos"), "url", "html", "http_status", "content_type")
 
 
 def scraped(spark, d) -> DataFrame:
     """The pipeline over stored pages; what needs a browser is rendered from the page's title and text.
 
-    Pages go by their own place: a URL may have been stored several times.
+    Pages go by their own place: a URL or an id may have been stored several times. Pages alike in all are one
+    request, whose row is repeated.
     """
     from textloom.sources.pages import stored_pages, stored_renders
 
     p = _fixture_pages(spark, d)
     renders = html.extract(p).select("pos", F.col("title").alias("raw_title"), F.col("text").alias("raw_text"), F.lit(0).alias("http_status"))
-    return scrape.scrape(p.select("pos", "url"), stored_pages(p), stored_renders(renders))
+    out = scrape.scrape(p.select("pos", "url"), stored_pages(p), stored_renders(renders))
+    return out.withColumn("pos", F.explode(F.array_repeat(F.col("pos.page_id").cast("int"), F.col("pos.copies").cast("int"))))
 
 
 _SCRAPED = f"""

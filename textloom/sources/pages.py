@@ -16,7 +16,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.schemas import FETCHED, RENDERED
@@ -41,6 +41,11 @@ def _stored(rows: DataFrame) -> tuple[str, DataFrame]:
     return "url", rows.groupBy("url").agg(F.max(F.struct(*rest)).alias("_row")).select("url", "_row.*")
 
 
+def _fields(schema) -> list[Column]:
+    """A schema's columns; pos keeps its type."""
+    return [F.col(f.name) if f.name == "pos" else F.col(f.name).cast(f.dataType) for f in schema.fields]
+
+
 def stored_pages(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """Offline fetch: bodies come from a table (url or pos, html, optional http_status and content_type)."""
 
@@ -59,7 +64,7 @@ def stored_pages(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
             "fetch_error": F.when(F.col("http_status").isNull(), F.lit("not stored")),
             "duration_ms": F.lit(0),
         })
-        return rows.select(*[F.col(f.name).cast(f.dataType) for f in FETCHED.fields])
+        return rows.select(*_fields(FETCHED))
 
     return fetch
 
@@ -200,6 +205,6 @@ def stored_renders(renders: DataFrame) -> Callable[[DataFrame], DataFrame]:
         }
         if "http_status" not in renders.columns:
             extra["http_status"] = F.lit(200)
-        return rows.withColumns(extra).select(*[F.col(f.name).cast(f.dataType) for f in RENDERED.fields])
+        return rows.withColumns(extra).select(*_fields(RENDERED))
 
     return render
