@@ -270,10 +270,9 @@ def url_list_requests(spark, d):
 
 
 def _fixture_pages(spark, d) -> DataFrame:
-    """Pages with a place of their own: what tells them apart, as ids may repeat or lack, and how many are alike in all."""
-    p = judged(spark, d).groupBy("page_id", "url", "html", F.col("status").alias("http_status"), "content_type").agg(F.count("*").alias("copies"))
-    place = F.struct("page_id", "url", F.sha2("html", 256).alias("digest"), "copies")
-    return p.select(place.alias("pos"), "url", "html", "http_status", "content_type")
+    """Pages with a place of their own: what tells them apart, as ids may repeat or lack."""
+    place = F.struct("page_id", "url", F.sha2("html", 256).alias("digest"))
+    return judged(spark, d).select(place.alias("pos"), "url", "html", F.col("status").alias("http_status"), "content_type")
 
 
 def scraped(spark, d) -> DataFrame:
@@ -286,8 +285,9 @@ def scraped(spark, d) -> DataFrame:
 
     p = _fixture_pages(spark, d)
     renders = html.extract(p).select("pos", F.col("title").alias("raw_title"), F.col("text").alias("raw_text"), F.lit(0).alias("http_status"))
-    out = scrape.scrape(p.select("pos", "url"), stored_pages(p), stored_renders(renders))
-    return out.withColumn("pos", F.explode(F.array_repeat(F.col("pos.page_id").cast("int"), F.col("pos.copies").cast("int"))))
+    places = p.groupBy("pos").agg(F.count("*").cast("int").alias("copies"))
+    out = scrape.scrape(places.select("pos", "pos.url"), stored_pages(p), stored_renders(renders)).join(places, "pos")
+    return out.withColumn("pos", F.explode(F.array_repeat(F.col("pos.page_id").cast("int"), F.col("copies")))).drop("copies")
 
 
 _SCRAPED = f"""

@@ -34,11 +34,10 @@ USER_AGENT = "Mozilla/5.0 (compatible; textloom)"
 
 def _stored(rows: DataFrame) -> tuple[str, DataFrame]:
     """(key, rows with one for each key), so that a request gets one row. With a pos, rows belong to requests, whose URLs
-    may repeat; of several that are stored under a URL alone, the greatest is taken, whatever their order."""
-    if "pos" in rows.columns:
-        return "pos", rows.drop("url")
-    rest = [c for c in rows.columns if c != "url"]
-    return "url", rows.groupBy("url").agg(F.max(F.struct(*rest)).alias("_row")).select("url", "_row.*")
+    may repeat; of several that are stored under one key, the greatest is taken, whatever their order."""
+    key = "pos" if "pos" in rows.columns else "url"
+    rest = [c for c in rows.columns if c not in ("pos", "url")]
+    return key, rows.groupBy(key).agg(F.max(F.struct(*rest)).alias("_row")).select(key, "_row.*")
 
 
 def _fields(schema) -> list[Column]:
